@@ -28,7 +28,6 @@ from warraq.runtime import BROADCAST_ROWS, cut
 MIN_SHARE, MIN_DOCS = 0.05, 5
 #: Copies of the small side when a join on the source has to shuffle, so that a source with a third of all rows spreads.
 SALT = 32
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 _NOT_LETTER_IN_TEXT = re.compile(r"[^\w\n]+|[\d_]+")
 
 
@@ -39,7 +38,12 @@ def source_key(c: Column) -> Column:
 
 def line_ids(text: str) -> list[int]:
     """For each line of a text, the 64-bit identifier of its letters in reading form; 0 for a line without a letter."""
-    t = _NOT_LETTER_IN_TEXT.sub("", reading(text))
+    return line_ids_of_reading(reading(text))
+
+
+def line_ids_of_reading(text: str) -> list[int]:
+    """`line_ids` of a text that is in reading form already."""
+    t = _NOT_LETTER_IN_TEXT.sub("", text)
     return [(xxhash.xxh64_intdigest(k.encode()) >> 1) or 1 if k else 0 for k in t.split("\n")]
 
 

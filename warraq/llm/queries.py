@@ -7,12 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import lines, skeleton
+from warraq.llm import lines, nearcopies, skeleton
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_links_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    _, blocks = p6_blocks_of(spark, sf_dir)
+    per_source = cut(lines.lines_of_blocks(blocks), "lines-of-blocks")
+    a = table(spark, sf_dir, "articles")
+    blank = ~F.coalesce(F.col("content").rlike(r"\S"), F.lit(False))
+    docs = a.select("id", lines.source_key(F.col("source_name")).alias("source"), F.when(blank, F.col("title")).otherwise(F.col("content")).alias("text"), blank.alias("titled"))
+    docs = lines.with_lines_of_source(docs, per_source).select("id", "text", F.when(~F.col("titled"), F.col("lines")).alias("lines"))
+    return nearcopies.links(docs, least=0.82, size=3)  # size and bound as TESTDATA.md states them
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.all_pairs(*p4_links_of(spark, sf_dir))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per article with shingles: its class of equal texts, the links of the class, the articles in it."""
+    return nearcopies.degrees(*p4_links_of(spark, sf_dir)).withColumnRenamed("id", "article_id")
+
+
 def p6_blocks_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The articles' lines (a cut) and the repeated blocks (a cut)."""
     got = cut(lines.line_table(table(spark, sf_dir, "articles"), "id", "source_name", "content"), "lines")
