@@ -1,3 +1,17 @@
 """SQL of the pN_ queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_SOURCE = "lower(trim(regexp_replace(coalesce(source_name, ''), '\\s+', ' ', 'g')))"
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"""
+        SELECT article_id FROM (
+            SELECT id AS article_id,
+                   row_number() OVER (
+                       PARTITION BY {_SOURCE}
+                       ORDER BY CASE WHEN isnan(reliability_score) OR reliability_score NOT BETWEEN 0 AND 1 THEN -1
+                                     ELSE coalesce(reliability_score, -1) END DESC,
+                                published_at DESC NULLS LAST, id) AS place,
+                   (SELECT floor(count(*) * 0.05 + 1e-9) FROM articles) AS cap
+            FROM articles)
+        WHERE place > cap""",
+}

@@ -7,12 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import lines, nearcopies, skeleton
+from warraq.llm import caps, lines, nearcopies, skeleton
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+P2_SHARE = 0.05
+
+
+def p2_ranked_of(spark: SparkSession, sf_dir: str, by_month: bool) -> DataFrame:
+    a = table(spark, sf_dir, "articles")
+    order = [-F.coalesce(caps.bounded_quality(F.col("reliability_score")), F.lit(-1.0)), -F.coalesce(F.unix_micros("published_at"), F.lit(-(2**62)))]
+    month = F.date_format("published_at", "yyyy-MM") if by_month else None
+    ranks = cut(caps.ranked(a, "id", lines.source_key(F.col("source_name")), order, month), "ranks")
+    cap = a.agg(F.floor(F.count("*") * P2_SHARE + 1e-9).alias("cap"))
+    return caps.capped(ranks, cap)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows beyond the cap: one stratum a source, so its best rows stay."""
+    return p2_ranked_of(spark, sf_dir, False).filter("not kept").select(F.col("id").alias("article_id"))
+
+
+def p2_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept rows when the cap of each source is split over the months of publication."""
+    return p2_ranked_of(spark, sf_dir, True).filter("kept").select(F.col("id").alias("article_id"), F.col("contributor").alias("source"), F.col("stratum").alias("month"), "rank", "slots")
+
+
 def p4_links_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     _, blocks = p6_blocks_of(spark, sf_dir)
     per_source = cut(lines.lines_of_blocks(blocks), "lines-of-blocks")
