@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import caps, lines, nearcopies, skeleton
+from warraq.llm import caps, leaks, lines, nearcopies, skeleton
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,25 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.degrees(*p4_links_of(spark, sf_dir)).withColumnRenamed("id", "article_id")
 
 
+def p5_links_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = table(spark, sf_dir, "approved_feedback_dataset")
+    side = F.coalesce(F.col("split_name") == "train", F.lit(False))
+    return leaks.split_links(r.select(F.col("rec_id").alias("id"), side.alias("side"), "text"), overlap=0.82, size=3)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = leaks.overlapping_pairs(*p5_links_of(spark, sf_dir))
+    return pairs.select(F.least("id_true", "id_false").alias("rec_id_a"), F.greatest("id_true", "id_false").alias("rec_id_b"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source: its records and those that overlap a record across the border of train."""
+    r = table(spark, sf_dir, "approved_feedback_dataset").select("rec_id", "split_name", "source")
+    found = leaks.overlapping_records(*p5_links_of(spark, sf_dir)).select(F.col("id").alias("rec_id"), "n_links")
+    g = r.join(found, "rec_id", "left").groupBy("split_name", "source")
+    return g.agg(F.count("*").alias("records"), F.count("n_links").alias("overlapping"))
+
+
 def p6_blocks_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The articles' lines (a cut) and the repeated blocks (a cut)."""
     got = cut(lines.line_table(table(spark, sf_dir, "articles"), "id", "source_name", "content"), "lines")
