@@ -9,26 +9,21 @@ The ranks are exact and no contributor passes through one task: the rows, reduce
 every partition its offset. Nothing is dropped to escape skew.
 
 Defined results: a null contributor is one contributor; a null stratum is one stratum; quality that is null, NaN or
-outside its bounds counts as equal and last; ties end with the id, then with the row's hash, so repeated rows rank one
+outside its bounds counts as equal and last; ties end with the id, repeated rows rank one
 after the other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warraq.runtime import bounded_broadcast, cut, partitions
-
-_RANKED = "id bigint, contributor string, stratum string, part int, place bigint"
-
+from warraq.operators.prefix import running_sum
+from warraq.runtime import bounded_broadcast, cut
 
 def bounded_quality(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """Quality with null, NaN and values outside the bounds as null."""
@@ -55,40 +50,12 @@ def apportion(cap: int, sizes: list[int]) -> list[int]:
     return out
 
 
-def _count_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (contributor, stratum, ...) get their place within this partition's piece of the stratum."""
-    last: tuple | None = None
-    seen = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = pa.table({"c": b["contributor"], "s": b["stratum"]})
-        new = [True] * b.num_rows
-        if b.num_rows > 1:
-            same = pc.and_(pc.equal(keys["c"].slice(1), keys["c"].slice(0, b.num_rows - 1)), pc.equal(keys["s"].slice(1), keys["s"].slice(0, b.num_rows - 1)))
-            new[1:] = pc.invert(same).to_pylist()
-        new[0] = (keys["c"][0].as_py(), keys["s"][0].as_py()) != last
-        places = []
-        for n in new:
-            seen = 1 if n else seen + 1
-            places.append(seen)
-        last = (keys["c"][-1].as_py(), keys["s"][-1].as_py())
-        yield pa.RecordBatch.from_arrays([b["id"], b["contributor"], b["stratum"], b["part"], pa.array(places, pa.int64())], ["id", "contributor", "stratum", "part", "place"])
-
-
 def ranked(df: DataFrame, id_col: str, contributor: Column, order: list[Column], stratum: Column | None = None) -> DataFrame:
-    """(id, contributor, stratum, rank): each row's exact place, from 1, in its contributor's stratum under `order`; a cut."""
-    spark = df.sparkSession
-    keys = [f"k{i}" for i in range(len(order))]
-    d = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(contributor, F.lit("")).alias("contributor"), (F.coalesce(stratum, F.lit("")) if stratum is not None else F.lit("")).alias("stratum"), *[o.alias(k) for o, k in zip(order, keys, strict=True)])
-    by = ["contributor", "stratum", *keys, "id"]
-    spread = d.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
-    placed = cut(spread.withColumn("part", F.spark_partition_id()).mapInArrow(_count_in_order, _RANKED), "places")
-    # one row per piece: at most the partitions plus the strata
-    pieces = placed.groupBy("contributor", "stratum", "part").agg(F.max("place").alias("n"))
-    before = F.coalesce(F.expr("sum(n) over (partition by contributor, stratum order by part rows between unbounded preceding and 1 preceding)"), F.lit(0))
-    offsets = cut(pieces.withColumn("before", before).drop("n"), "offsets")
-    return placed.join(bounded_broadcast(offsets), ["contributor", "stratum", "part"]).select("id", "contributor", "stratum", (F.col("place") + F.col("before")).alias("rank"))
+    """(id, contributor, stratum, rank): each row's exact place, from 1, in its contributor's stratum under `order`. Names hold no line break."""
+    # both names in one key: a contributor's strata lie side by side
+    whole = F.concat(F.coalesce(contributor, F.lit("")), F.lit("\n"), F.coalesce(stratum, F.lit("")) if stratum is not None else F.lit(""))
+    part = F.split("group", "\n", 2)
+    return running_sum(df, id_col, whole, order).select("id", part[0].alias("contributor"), part[1].alias("stratum"), (F.col("before") + 1).alias("rank"))
 
 
 def _shares(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import caps, leaks, lines, nearcopies, skeleton
+from warraq.llm import caps, leaks, lines, mixing, nearcopies, packing, skeleton, tokens
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,4 +113,36 @@ def p7_same_looking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.same_looking(table(spark, sf_dir, "articles"), "title")
 
 
+def token_sizes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return cut(d.select(F.col("doc_id").alias("id"), "source", tokens.counts(F.col("text")).alias("tokens")), "tokens")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's containers, for each capacity."""
+    sizes = token_sizes_of(spark, sf_dir)
+    out = None
+    for r in table(spark, sf_dir, "pack_capacity").orderBy("max_tokens").collect():  # a fixed table of capacities
+        one = packing.packed(sizes.select("id", "tokens"), r["max_tokens"]).select(F.lit(r["capacity_name"]).alias("capacity_name"), F.col("id").alias("doc_id"), "piece", "start", "tokens", "container")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, pieces, tokens and the share of the containers' space that is used."""
+    g = p8_packed(spark, sf_dir).groupBy("capacity_name", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    g = g.groupBy("capacity_name").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return g.join(table(spark, sf_dir, "pack_capacity"), "capacity_name").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("max_tokens")))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed set: which pieces of which texts stand in which slot of which shard."""
+    return mixing.mixed(token_sizes_of(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.mixed(token_sizes_of(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Query] = {n: f for n, f in list(globals().items()) if n[0] == "p" and n[1].isdigit() and callable(f) and not n.endswith("_of")}
