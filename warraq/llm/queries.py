@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import caps, leaks, lines, mixing, nearcopies, packing, skeleton, tokens
+from warraq.llm import caps, leaks, lines, mixing, nearcopies, packing, skeleton, tokens, truncation
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,17 @@ def p2_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_ranked_of(spark, sf_dir, True).filter("kept").select(F.col("id").alias("article_id"), F.col("contributor").alias("source"), F.col("stratum").alias("month"), "rank", "slots")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "articles")
+    return truncation.judged(a, "id", "source_name", "content").filter("probability >= 0.5").select(F.col("id").alias("article_id"))
+
+
+def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source_name the share of its articles that is cut."""
+    a = table(spark, sf_dir, "articles")
+    return truncation.per_source(truncation.judged(a, "id", "source_name", "content"), a.select("id", "source_name"))
+
+
 def p4_links_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     _, blocks = p6_blocks_of(spark, sf_dir)
     per_source = cut(lines.lines_of_blocks(blocks), "lines-of-blocks")
