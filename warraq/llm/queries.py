@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import caps, leaks, lines, mixing, nearcopies, packing, skeleton, tokens, truncation
+from warraq.llm import caps, leaks, lines, mixing, nearcopies, packing, personal, skeleton, tokens, truncation
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,4 +156,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(token_sizes_of(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_finds_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs, cut(personal.found(docs, table(spark, sf_dir, "given_names")), "finds")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finds = p10_finds_of(spark, sf_dir)[1]
+    return finds.select(F.col("id").alias("doc_id"), "pii_type", F.col("item").alias("pii_text")).distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of its personal data."""
+    return personal.redacted(*p10_finds_of(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {n: f for n, f in list(globals().items()) if n[0] == "p" and n[1].isdigit() and callable(f) and not n.endswith("_of")}
