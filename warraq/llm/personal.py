@@ -38,7 +38,7 @@ BODIES_AFTER = {"street", "road", "avenue", "lane", "close", "way", "drive", "ho
 PHONE_WORDS = {"هاتف", "الهاتف", "جوال", "الجوال", "واتساب", "الاتصال", "اتصل", "موبايل", "رقمي", "tel", "phone", "mobile", "call", "tél", "téléphone", "appelez", "appeler", "whatsapp"}
 ID_WORDS = {"هوية", "الهوية", "جواز", "الجواز", "شخصية", "الشخصية", "passport", "passeport", "identité", "id", "الوطني", "القومي", "الإقامة", "إقامة", "ssn", "security", "sécurité", "insurance", "licence", "license"}
 
-_MAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*[ ]?@[ ]?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]|[\[(]dot[\])])*[ ]?(?:@|[\[(]at[\])])[ ]?[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[(]dot[\])][ ]?)[A-Za-z0-9-]+)+", re.I)
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _NUMBER = re.compile(r"(?<![\w@/.,:-])(?:[+(]{1,2})?(?:[A-Z]{1,2}[ -]?)?\d(?:[A-Z]{2}(?=\d))?(?:[ .()-]{0,2}\d(?:[A-Z]{2}(?=\d))?)*(?![\w/]|[.,]\d)")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?|\S")
@@ -216,7 +216,7 @@ def _find_batches(given: frozenset[str]):
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if not t:
                     continue
-                if "@" in t:
+                if "@" in t or "at]" in t or "at)" in t:
                     rows += [(i, "email", m.start(), m.end(), m[0], "", "", -1, "") for m in _MAIL.finditer(t)]
                 rows += [(i, sure_type(s) or "number", a, e, s, k[0], k[1], -1, k[2]) for a, e, s, k in numbers(t)]
                 rows += [(i, "address", a, e, t[a:e], town, f"{town} {more}" if more else "", long, t[a:long]) for a, e, more, long, town in addresses(t)]
