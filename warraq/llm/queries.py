@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import caps, leaks, lines, mixing, nearcopies, packing, personal, skeleton, tokens, truncation
+from warraq.llm import caps, leaks, lines, mixing, names, nearcopies, packing, personal, skeleton, tokens, truncation
 from warraq.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+P1_FIELDS = ["persons", "organizations", "locations"]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = names.entities(table(spark, sf_dir, "articles"), P1_FIELDS)
+    return names.spelling_pairs(found).select(F.col("field").alias("field_name"), F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string that is one spelling of several, with its entity."""
+    return names.entities(table(spark, sf_dir, "articles"), P1_FIELDS).withColumnRenamed("field", "field_name")
+
+
 P2_SHARE = 0.05
 
 
