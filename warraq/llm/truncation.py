@@ -249,7 +249,7 @@ def judged(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFr
     posts = cut(posts, "posteriors")
     totals = counts.filter(~F.col("word").startswith("\n")).agg(F.sum("inside").alias("all_inside"), F.sum("ends").alias("all_ends"))
     by_words = counts.filter(F.col("word").startswith("\n")).select(F.substring("word", 2, 9).cast("int").alias("words"), F.col("ends").alias("sentences"))  # 60 rows at most
-    reached = by_words.alias("k").join(by_words.withColumnRenamed("words", "w").withColumnRenamed("sentences", "s"), F.col("w") >= F.col("k.words")).groupBy("words").agg(F.first("k.sentences").alias("f"), F.sum("s").alias("reach"))
+    reached = by_words.select("words", F.col("sentences").alias("f"), F.expr("sum(sentences) over (order by words desc)").alias("reach"))
     mean = by_words.agg(F.sum("sentences").alias("n"), F.sum(F.col("words") * F.col("sentences")).alias("m"))
     by_length = reached.join(F.broadcast(mean)).select("words", F.log((F.col("reach") / F.col("m")) / ((F.col("f") + 0.5) / F.col("n"))).alias("by_length"))
     open_ = seen.filter("verdict = 2").withColumns({"here": F.col("word").endswith("\n"), "word": F.regexp_replace("word", "\n", ""), "words": F.least("words", F.lit(60))})
