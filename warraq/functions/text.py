@@ -137,14 +137,10 @@ SUFFIXES = ["ين", "ون", "ات", "يه", "ية", "ها", "هم", "نا", "ي"
 
 
 def light_stem(w: Column, prefixes: Sequence[str] = PREFIXES_A, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The first prefix that leaves three letters goes, then the first suffix that leaves two."""
     w = F.translate(w, "ةأإآ", "هااا")
-    cut: Column = w
-    for p in reversed(prefixes):
-        cut = F.when(w.startswith(p) & (F.length(w) > len(p) + 2), F.substring(w, F.lit(len(p) + 1), F.length(w))).otherwise(cut)
-    out: Column = cut
-    for s in reversed(suffixes):
-        out = F.when(cut.endswith(s) & (F.length(cut) > len(s) + 1), F.substring(cut, F.lit(1), F.length(cut) - len(s))).otherwise(out)
-    return out
+    w = F.regexp_replace(w, "(?s)^(?:" + "|".join(f"{p}(?=...)" for p in prefixes) + ")", "")
+    return F.regexp_replace(w, "(?s)(?<=..)(?:" + "|".join(suffixes) + r")\z", "")
 
 
 def fingerprint(c: Column) -> Column:
