@@ -41,6 +41,8 @@ ID_WORDS = {"هوية", "الهوية", "جواز", "الجواز", "شخصية"
 _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]|[\[(]dot[\])])*[ ]?(?:@|[\[(]at[\])])[ ]?[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[(]dot[\])][ ]?)[A-Za-z0-9-]+)+", re.I)
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _NUMBER = re.compile(r"(?<![\w@/.,:-])(?:[+(]{1,2})?(?:[A-Z]{1,2}[ -]?)?\d(?:[A-Z]{2}(?=\d))?(?:[ .()-]{0,2}\d(?:[A-Z]{2}(?=\d))?)*(?![\w/]|[.,]\d)")
+#: What every number of interest holds; quick to look for.
+_LONG_NUMBER = re.compile(r"\d(?:[ .()-]{0,2}[A-Z]{0,2}\d){4}")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?|\S")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _AR_ELEMENT = r"(?:الحي|حي|شارع|طريق|زقاق|جادة|بناية|بناء|عمارة|ممر|درب|ساحة|برج)"
@@ -50,6 +52,14 @@ _ADDRESS_EN = re.compile(r"(?<!\w)(?:(?:Flat|Apt|Apartment|Unit|Suite)\.? \w+, )
 _ADDRESS_FR = re.compile(r"(?<!\w)\d+(?: bis| ter)?,? (?:rue|boulevard|avenue|chemin|impasse|place|allée|quai|route|cours|square) (?:de la |de l['’]|du |des |de |d['’])?[A-ZÀ-Ý][\w'’-]+(?: [\w'’-]+){0,3}, (?:\d{5} )?(?P<town>[A-ZÀ-Ý][\w'’-]+)(?: (?P<more>[A-ZÀ-Ý][\w'’-]+))?(?P<code>(?!x)x)?")
 
 
+#: Each form of address with strings of which it holds one.
+_ADDRESSES = [
+    (_ADDRESS_AR, ["مدينة ", "بلدة ", "قرية ", "ناحية ", "ضاحية ", "بلدية "]),
+    (_ADDRESS_EN, [" Street", " St", " Lane", " Road", " Rd", " Ave", " Close", " Way", " Drive", " Court", " Square", " Terrace", " Row", " Crescent", " Place", " Hill", " Gardens", " Grove", " Walk"]),
+    (_ADDRESS_FR, ["rue ", "boulevard ", "avenue ", "chemin ", "impasse ", "place ", "allée ", "quai ", "route ", "cours ", "square "]),
+]
+
+
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
@@ -66,7 +76,9 @@ def sure_type(s: str) -> str:
 
 def numbers(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     """(start, end, string, labels): numbers of seven to fifteen digits outside links and addresses of mail, with the words before."""
-    hidden = "".join(" " * len(p) if k % 2 else p for k, p in enumerate(re.split(f"({_MAIL.pattern}|{_LINK.pattern})", text))) if "@" in text or "/" in text else text
+    if not _LONG_NUMBER.search(text):
+        return
+    hidden = "".join(" " * len(p) if k % 2 else p for k, p in enumerate(re.split(f"({_MAIL.pattern}|{_LINK.pattern})", text))) if "@" in text or "http" in text or "www." in text or "at]" in text or "at)" in text else text
     for m in _NUMBER.finditer(hidden):
         s = m[0]
         n = _digits(s)
@@ -79,7 +91,9 @@ def numbers(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
 
 def addresses(text: str) -> Iterator[tuple[int, int, str, int, str]]:
     """(start, end without the second word of the town, second word, end with it, first word)."""
-    for rx in (_ADDRESS_AR, _ADDRESS_EN, _ADDRESS_FR):
+    for rx, some in _ADDRESSES:
+        if not any(w in text for w in some):
+            continue
         for m in rx.finditer(text):
             start = m.start()
             if m["code"]:
@@ -107,11 +121,38 @@ def is_initial(t: str) -> bool:
     return len(t) == 2 and t[1] == "." and t[0].isalpha()
 
 
-def name_spans(tokens: list[str], given: frozenset[str] | set[str]) -> Iterator[tuple[int, int, int, bool, int]]:
+class Starts(dict):
+    """Whether a token may begin a given name of a set, remembered per token."""
+
+    def __init__(self, given: frozenset[str] | set[str]) -> None:
+        super().__init__()
+        self.given = given
+
+    def __missing__(self, t: str) -> bool:
+        k = bare(t)
+        yes = k in self.given or k in ("عبد", "abd", "abdul", "abdel") or len(t) > 3 and t[0] in "وفبلك" and (k[1:] in self.given or k[1:] == "عبد")
+        if len(self) < 500_000:
+            self[t] = yes
+        return yes
+
+
+class Titles(dict):
+    """Whether a token is a title, remembered per token."""
+
+    def __missing__(self, t: str) -> bool:
+        yes = t.casefold() in TITLES
+        if len(self) < 500_000:
+            self[t] = yes
+        return yes
+
+
+def name_spans(tokens: list[str], given: frozenset[str] | set[str], starts: Starts) -> Iterator[tuple[int, int, int, bool, int]]:
     """(first, last, family, loose, letters to skip) of every candidate: tokens that may make a name with given names of the
     set. loose: the word before the given name, with no comma between, which is mostly no family name."""
-    n, i = len(tokens), 0
-    while i < n:
+    n, done = len(tokens), 0
+    for i in [i for i, t in enumerate(tokens) if starts[t]]:
+        if i < done:
+            continue
         skip, k = 0, is_given(tokens, i, given)
         if not k and len(tokens[i]) > 3 and tokens[i][0] in "وفبلك" and bare(tokens[i]) not in given:
             one = tokens[:]
@@ -119,7 +160,6 @@ def name_spans(tokens: list[str], given: frozenset[str] | set[str]) -> Iterator[
             k = is_given(one, i, given)
             skip = 1 if k else 0
         if not k:
-            i += 1
             continue
         j = i + k
         while j < n and not tokens[j - 1].endswith(".") or j < n and is_initial(tokens[j - 1]) and j > i + k:
@@ -140,7 +180,7 @@ def name_spans(tokens: list[str], given: frozenset[str] | set[str]) -> Iterator[
                 b = -1  # in Latin letters the family name comes first only before a comma
             if b >= 0 and _family_like(tokens[b], tokens[i]) and bare(tokens[b]) not in given:
                 yield b, j - 1, b, b == i - 1, 0
-        i = j
+        done = j
 
 
 def _family_like(t: str, beside: str) -> bool:
@@ -151,9 +191,12 @@ def _family_like(t: str, beside: str) -> bool:
 
 
 def _count_batches(listed: frozenset[str]):
+    starts = Starts(listed)
+    titles = Titles()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every: Counter = Counter()
+            written: Counter = Counter()
             beside: Counter = Counter()
             titled: Counter = Counter()
             labels: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -162,18 +205,14 @@ def _count_batches(listed: frozenset[str]):
                 if not t:
                     continue
                 tokens = _TOKEN.findall(t)
-                every.update(map(bare, tokens))
-                for i, x in enumerate(tokens):
-                    if x.casefold() in TITLES and i + 1 < len(tokens):
+                written.update(tokens)
+                for i in [i for i, x in enumerate(tokens) if titles[x]]:
+                    x = tokens[i]
+                    if i + 1 < len(tokens):
                         y = tokens[i + 1]
                         if y[0].isalpha() and y.casefold() not in TITLES and not is_initial(y) and not (is_initial(x) and i and tokens[i - 1][0].isupper() and tokens[i - 1][-1].isalpha()) and tokens[i + 2 : i + 3] not in ([","], ["،"]):
                             titled[bare(y)] += 1
-                            j = i + (3 if bare(y) == "عبد" else 2)
-                            while j < len(tokens) and (is_initial(tokens[j]) or is_given(tokens, j, listed)):
-                                j += 1
-                            if bare(y) not in listed and j < len(tokens) and _family_like(tokens[j], y):
-                                beside[bare(tokens[j])] += 1
-                for _, _, f, loose, _ in name_spans(tokens, listed):
+                for _, _, f, loose, _ in name_spans(tokens, listed, starts):
                     if not loose:
                         beside[bare(tokens[f])] += 1
                 for _, _, s, keys in numbers(t):
@@ -186,7 +225,11 @@ def _count_batches(listed: frozenset[str]):
                 for _, _, more, _, town in addresses(t):
                     towns[f"{town}"] += 1
                     towns[f"{town} {more}"] += 1
-            rows = [("word", w, n, beside[w], titled[w]) for w, n in every.items() if w and w[0].isalpha()]
+            every: Counter = Counter()
+            for w, n in written.items():
+                if w[0].isalpha():
+                    every[bare(w)] += n
+            rows = [("word", w, n, beside[w], titled[w]) for w, n in every.items() if w]
             rows += [("label", k, *v) for k, v in labels.items()]
             rows += [("town", k, n, 0, 0) for k, n in towns.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["kind", "key", "n", "a", "b"])
@@ -210,6 +253,8 @@ _FOUND = "id bigint, pii_type string, start int, stop int, item string, key1 str
 
 
 def _find_batches(given: frozenset[str]):
+    starts = Starts(given)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
@@ -221,7 +266,7 @@ def _find_batches(given: frozenset[str]):
                 rows += [(i, sure_type(s) or "number", a, e, s, k[0], k[1], -1, k[2]) for a, e, s, k in numbers(t)]
                 rows += [(i, "address", a, e, t[a:e], town, f"{town} {more}" if more else "", long, t[a:long]) for a, e, more, long, town in addresses(t)]
                 tokens, places = [], []
-                found = list(name_spans(_TOKEN.findall(t), given))
+                found = list(name_spans(_TOKEN.findall(t), given, starts))
                 if found:
                     places = [m.span() for m in _TOKEN.finditer(t)]
                     tokens = [t[x:y] for x, y in places]
