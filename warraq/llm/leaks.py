@@ -10,8 +10,8 @@ With equal weights, an overlap (Jaccard) of t implies a cosine of 2 t / (1 + t)
 finds every pair of overlap t; the exact dot product gives the size of the intersection and so the exact overlap.
 
 Defined results: null, blank or too short texts have no terms and overlap nothing; equal texts overlap by 1; records whose
-split is null count as not of the reference split; repeated rows with one id are one record per (id, text); an empty table
-gives empty results. Equal vectors of a side are combined first; lists of hot terms are split into pieces.
+split is null count as not of the reference split; rows without an id are left out, rows repeated under an id count once; an
+empty table gives empty results. Equal vectors of a side are combined first; lists of hot terms are split into pieces.
 """
 
 from __future__ import annotations
@@ -99,9 +99,10 @@ def split_links(records: DataFrame, overlap: float = 0.8, size: int = 5) -> tupl
     """Of `records` (id, side boolean, text): (members, links), both cuts. members: (id, side, rep); links: (a, b, cosine,
     overlap), a naming a class of equal vectors with side = true, b one with side = false."""
     least = cosine_for_overlap(overlap)
+    records = records.select("id", "side", "text").filter("id is not null")
     vectors = cut(records.mapInArrow(_vector_batches(size), _VECTOR), "vectors")
     key = ["side", "f1", "f2", "n"]
-    members = cut(vectors.select("id", *key).join(vectors.groupBy(*key).agg(F.min("id").alias("rep")), key).select("id", "side", "rep"), "members")
+    members = cut(vectors.select("id", *key).join(vectors.groupBy(*key).agg(F.min("id").alias("rep")), key).select("id", "side", "rep").distinct(), "members")
     reps = cut(vectors.groupBy(*key).agg(F.min(F.struct("id", "terms")).alias("r")).select("side", "n", "r.*"), "classes")
     entries = reps.select("id", "side", "n", F.explode("terms").alias("term"))
     most = lambda s: F.max(F.when(F.col("side") == s, 1 / F.sqrt("n")))

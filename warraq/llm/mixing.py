@@ -90,7 +90,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int =
     """
     spark = sizes.sparkSession
     want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect()}  # a fixed small table
-    ours = sizes.join(bounded_broadcast(targets.select("source").distinct()), "source", "left_semi").filter("tokens > 0")
+    ours = sizes.select("id", "source", "tokens").join(bounded_broadcast(targets.select("source").distinct()), "source", "left_semi").filter("tokens > 0")
     tokens = {r["source"]: r["n"] for r in ours.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row per target
     chosen = plan(tokens, want, block)
     names = list(chosen)

@@ -12,7 +12,8 @@ Scale: equal sets are combined first (a group of copies of any size becomes one
 split into block pairs, so no task holds an unbounded group, and nothing is collected to the driver.
 
 Defined results: null, blank or too short texts (fewer than `size` words) have no shingles and no near-copies; equal texts
-overlap by 1; repeated ids are treated as one row per (id, text); an empty table gives empty results.
+overlap by 1; rows without an id are left out; an id names one text, so rows repeated under it count once; an empty table
+gives empty results. Columns other than id, text and lines are ignored.
 """
 
 from __future__ import annotations
@@ -312,10 +313,11 @@ def links(docs: DataFrame, least: float = 0.8, size: int = 5) -> tuple[DataFrame
     """Of `docs` (id, text[, lines]): (members, pairs): (id, rep) of every row with shingles, rep naming its class of equal
     sets; (a, b, overlap) between reps, exact. Both are cuts. The shingle sets of all texts are never stored: those of
     rows with a candidate are made again from the texts."""
+    docs = docs.select("id", "text", *[c for c in docs.columns if c == "lines"]).filter("id is not null")
     sk = sketched(docs, size)
     first = F.min(F.struct("id", "n", "s0", "s1", "s2", "s3", "bands")).alias("r")
     classes = sk.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    members = cut(sk.select("id", "f1", "f2", "n").join(classes.filter("m > 1").drop("m"), ["f1", "f2", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep")), "members")
+    members = cut(sk.select("id", "f1", "f2", "n").join(classes.filter("m > 1").drop("m"), ["f1", "f2", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct(), "members")
     reps = cut(sk.groupBy("f1", "f2", "n").agg(first).select("r.*"), "reps")
     found = cut(candidate_pairs(reps, least), "candidates")
     need = bounded_broadcast(cut(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids"))

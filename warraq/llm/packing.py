@@ -7,7 +7,8 @@ rounded down, every text takes its place by its exact rank within its length, an
 best fit in blocks.
 
 Defined results: null and empty texts have no tokens and go to no container; a text longer than the capacity is split into
-full containers and one remainder, others never; repeated ids are packed once per row; an empty table packs nothing.
+full containers and one remainder, others never; repeated ids are packed once per row, rows without an id are left out; an
+empty table packs nothing.
 """
 
 from __future__ import annotations
@@ -138,11 +139,11 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
     width = max(1, capacity // STEPS)
     steps = capacity // width
     n = F.col("tokens")
-    whole = F.floor(n / capacity).cast("bigint")
     cuts = F.when(n <= capacity, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / capacity).cast("bigint") - 1))
-    pieces = sizes.filter(n > 0).withColumn("whole", whole).withColumn("piece", F.explode(cuts)).select("id", "piece", (F.col("piece") * capacity).alias("start"), F.least(n - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("tokens"))
+    pieces = sizes.select("id", "tokens").filter((n > 0) & F.col("id").isNotNull()).withColumn("piece", F.explode(cuts)).select("id", "piece", (F.col("piece") * capacity).alias("start"), F.least(n - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("tokens"))
     full = pieces.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "id", "piece"))
-    rest = pieces.filter(F.col("tokens") < capacity).withColumn("item", F.col("id"))  # a text has one piece short of the capacity at most
+    # each row's short piece under a number of its own, as ids may repeat; a cut, so the numbers stay
+    rest = cut(pieces.filter(F.col("tokens") < capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
     step = F.ceil(F.col("tokens") / width).cast("int")
     counts = rest.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # at most STEPS rows, whatever the table's size
     hist = np.zeros(steps + 1, dtype=np.int64)
@@ -157,7 +158,7 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
             used[b] = used.get(b, 0) + m * times
     entries.sort()
     arrays = [np.array([e[i] for e in entries], dtype=np.int64) for i in range(4)]
-    ranked = running_sum(rest, "id", F.least(step, F.lit(steps)), []).select(F.col("id").alias("item"), F.col("group").cast("int").alias("step"), F.col("before").alias("rank"))
+    ranked = running_sum(rest, "item", F.least(step, F.lit(steps)), []).select(F.col("id").alias("item"), F.col("group").cast("int").alias("step"), F.col("before").alias("rank"))
     ranked = ranked.join(rest.select("item", "tokens"), "item")
     placed = cut(ranked.mapInArrow(_assign(*arrays), "item bigint, tokens bigint, pattern bigint, number bigint"), "placed")
     by_pattern = placed.filter("pattern >= 0").withColumn("container", F.concat_ws("-", F.lit("pattern"), "pattern", "number"))
@@ -171,5 +172,5 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
 
     by_fit = left.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))).groupBy("block").applyInPandas(fit, "item bigint, tokens bigint, container string")
     short = by_pattern.select("item", "tokens", "container").unionByName(by_fit)
-    where = rest.select("item", "piece", "start").join(short, "item").select(F.col("item").alias("id"), "piece", "start", "tokens", "container")
+    where = rest.select("item", "id", "piece", "start").join(short, "item").select("id", "piece", "start", "tokens", "container")
     return full.select("id", "piece", "start", "tokens", "container").unionByName(where)

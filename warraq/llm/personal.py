@@ -352,5 +352,5 @@ def _replace_udf(text: pd.Series, starts: pd.Series, stops: pd.Series, types: pd
 def redacted(docs: DataFrame, finds: DataFrame) -> DataFrame:
     """(id, text, items): every text with typed placeholders in place of its finds, and how many there were."""
     per = finds.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "pii_type")).alias("f"))
-    j = docs.join(bounded_broadcast(per), "id", "left")
+    j = docs.select("id", "text").join(bounded_broadcast(per), "id", "left")
     return j.select("id", F.when(F.col("f").isNull(), F.col("text")).otherwise(_replace_udf("text", F.col("f.start"), F.col("f.stop"), F.col("f.pii_type"))).alias("text"), F.coalesce(F.size("f"), F.lit(0)).alias("items"))
