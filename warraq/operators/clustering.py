@@ -7,9 +7,13 @@ those rows alone; the threshold falls as shared entities and title stems raise t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Least confidence and the cosine it needs; weights of shared entities and title stems.
 THRESHOLDS = [(0.6, 0.78), (0.3, 0.81), (-1.0, 0.84)]
@@ -66,12 +70,22 @@ def assign(rows: pd.DataFrame) -> list[int]:
     return out
 
 
-def incremental(df: DataFrame, batch: str, seq: str) -> DataFrame:
-    """(batch, seq, cluster) of rows with the columns of `assign`."""
-    b, s = df.schema[batch].dataType.simpleString(), df.schema[seq].dataType.simpleString()
+_COLUMNS = ["vector", "domains", "words", "stems", "persons", "organizations", "locations"]
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable").reset_index(drop=True)
-        return pd.DataFrame({batch: pdf[batch], seq: pdf[seq], "cluster": assign(pdf)})
+def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, seqs, found = [], [], []
+        for k, rows in zip(b["batch"].to_pylist(), b["rows"].to_pylist(), strict=True):
+            keys += [k] * len(rows)
+            seqs += [r["seq"] for r in rows]
+            found += assign(pd.DataFrame(rows, columns=["seq", *_COLUMNS]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(seqs, pa.int64()), pa.array(found, pa.int32())], ["batch", "seq", "cluster"])
 
-    return df.groupBy(batch).applyInPandas(fold, f"{batch} {b}, {seq} {s}, cluster int")
+
+def incremental(df: DataFrame, batch: str, seq: str) -> DataFrame:
+    """(batch, seq, cluster) of rows with the columns of `assign`. A batch's rows come as one sorted array; many batches share an Arrow batch."""
+    row = F.struct(F.col(seq).cast("bigint").alias("seq"), *[F.col(c) for c in _COLUMNS])
+    g = df.groupBy(F.col(batch).cast("string").alias("batch")).agg(F.collect_list(row).alias("rows"))
+    g = g.select("batch", F.array_sort("rows", lambda x, y: (x["seq"] > y["seq"]).cast("int") - (x["seq"] < y["seq"]).cast("int")).alias("rows"))
+    return g.mapInArrow(_fold_batches, "batch string, seq bigint, cluster int").select(F.col("batch").alias(batch), F.col("seq").alias(seq), "cluster")
