@@ -31,8 +31,9 @@ from warraq.llm.lines import line_ids_of_reading, source_key, with_lines_of_sour
 from warraq.llm.skeleton import reading
 from warraq.runtime import bounded_broadcast, cut
 
-#: A site line has at most so many letters, stands in so many documents of its source and in this share of them.
-LONGEST_SITE_LINE, MIN_DOCS, MIN_SHARE = 110, 5, 0.005
+#: A site line has at most so many letters, stands in so many documents of its source and in this share of them; a larger
+#: share if it ends like a sentence, as items of price lists and tables do.
+LONGEST_SITE_LINE, MIN_DOCS, MIN_SHARE, MIN_SHARE_STOPPED = 110, 5, 0.005, 0.03
 _NOT_KEY = re.compile(r"[\W\d_]+")
 _TAGS = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _END = ".؟!?"
@@ -57,9 +58,9 @@ def line_key(line: str) -> str:
 
 
 def _site_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, key, first, last): the short lines of each text, once per text, with a hash of the line before."""
+    """(source, key, before, stopped): the short lines of each text, once per text, with a hash of the line before."""
     for b in batches:
-        source, keys, before = [], [], []
+        source, keys, before, stopped = [], [], [], []
         for s, t in zip(b["source"].to_pylist(), b["text"].to_pylist(), strict=True):
             r = reading(t).split("\n")
             prev, seen = 0, set()
@@ -72,8 +73,9 @@ def _site_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     source.append(s)
                     keys.append(k)
                     before.append(prev)
+                    stopped.append(line.rstrip().rstrip(_CLOSERS)[-1:] in tuple(_END + "．"))
                 prev = hash_of(k)
-        yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(keys, pa.string()), pa.array(before, pa.int64())], ["source", "key", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(keys, pa.string()), pa.array(before, pa.int64()), pa.array(stopped, pa.bool_())], ["source", "key", "before", "stopped"])
 
 
 def hash_of(k: str) -> int:
@@ -83,10 +85,10 @@ def hash_of(k: str) -> int:
 def site_lines(docs: DataFrame) -> DataFrame:
     """(source, keys): per source, the keys of its site lines and of those of many sources. docs: (id, source, text)."""
     n = docs.groupBy("source").agg(F.count("*").alias("docs"))
-    seen = docs.mapInArrow(_site_candidates, "source string, key string, before bigint").groupBy("source", "key").agg(F.count("*").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi"))
+    seen = docs.mapInArrow(_site_candidates, "source string, key string, before bigint, stopped boolean").groupBy("source", "key").agg(F.count("*").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi"), F.max("stopped").alias("stopped"))
     seen = cut(seen.filter("n > 1"), "short-lines")
-    own = seen.join(bounded_broadcast(n), "source").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= F.col("docs") * MIN_SHARE) & (F.col("lo") != F.col("hi"))).select("source", "key")
-    shared = seen.groupBy("key").agg(F.count("*").alias("sources"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("sources >= 3 and lo <> hi and n >= 5").select("key")
+    own = seen.join(bounded_broadcast(n), "source").filter((F.col("n") >= MIN_DOCS) & (F.col("n") >= F.col("docs") * F.when(F.col("stopped"), MIN_SHARE_STOPPED).otherwise(MIN_SHARE)) & (F.col("lo") != F.col("hi"))).select("source", "key")
+    shared = seen.filter("not stopped").groupBy("key").agg(F.count("*").alias("sources"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("sources >= 3 and lo <> hi and n >= 5").select("key")
     every = n.select("source", F.lit(1).alias("one")).join(F.broadcast(shared.agg(F.collect_set("key").alias("all")).withColumn("one", F.lit(1))), "one")  # one row with the lines that several sources share
     mine = own.groupBy("source").agg(F.collect_set("key").alias("own"))
     return every.join(mine, "source", "left").select("source", F.array_union(F.coalesce("own", F.array().cast("array<string>")), "all").alias("lines"))
