@@ -74,3 +74,10 @@ def purged_models(jobs: DataFrame, keep: int = 5) -> DataFrame:
     """Completed models beyond the newest `keep` that are not active. A job table is small by nature."""
     d = jobs.filter("model_path is not null and lower(status) = 'completed'")
     return d.withColumn("place", F.expr("row_number() over (order by finished_at desc nulls last, id desc)")).filter((F.col("place") > keep) & ~F.coalesce("is_active", F.lit(False)))
+
+
+def inserted(feedback: DataFrame, articles: DataFrame, given: DataFrame) -> DataFrame:
+    """The table with new rows: `given` (id, article_id, the judgements and corrections, notes, created_at) with the article's labels of now; unknown articles give none."""
+    a = articles.select(F.col("id").alias("article_id"), F.col("propaganda_label").alias("propaganda_prediction"), F.col("statement_type").alias("statement_prediction"), F.col("attribution_label").alias("attribution_prediction"))
+    new = given.join(a, "article_id").withColumns({"status": F.lit("pending"), "training_job_id": F.lit(None).cast("bigint"), "admin_notes": F.lit(None).cast("string")})
+    return feedback.unionByName(new.select(*[c for c in feedback.columns if c in new.columns]), allowMissingColumns=True)

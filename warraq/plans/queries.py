@@ -520,3 +520,28 @@ def event_windows(spark, d):
 def event_sessions(spark, d):
     s = ingest.sessions(table(spark, d, "events"), "ts", "user_id")
     return s.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n")
+
+
+# ---- conversations and summaries
+
+
+@query("""SELECT rec_id, '<start_of_turn>user' || chr(10) || 'Classify the text.' || chr(10) || chr(10) || """ + sql_strip("title") + """ || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) || propaganda_label || '<end_of_turn>' || chr(10) AS text
+    FROM approved_feedback_dataset WHERE title IS NOT NULL AND propaganda_label IS NOT NULL""")
+def chat_render(spark, d):
+    from warraq.operators import summaries
+
+    r = table(spark, d, "approved_feedback_dataset").filter("title is not null and propaganda_label is not null")
+    turns = t.messages(F.lit("Classify the text."), F.col("title"), F.col("propaganda_label"))
+    return r.select("rec_id", summaries.render_chat(turns).alias("text"))
+
+
+@query()
+def cluster_summaries(spark, d):
+    from warraq.operators import summaries
+
+    return summaries.summarized(table(spark, d, "clusters"), table(spark, d, "articles"), 2026).select("id", "summary")
+
+
+@query("""SELECT f.id, f.status, CASE WHEN f.status = 'approved' AND f.training_job_id IS NULL THEN 999 ELSE f.training_job_id END AS training_job_id FROM article_feedback f""")
+def stamped_feedback(spark, d):
+    return feedback.stamp_job(table(spark, d, "article_feedback"), 999).select("id", "status", F.col("training_job_id").cast("bigint").alias("training_job_id"))
