@@ -7,7 +7,7 @@ spread over as many tasks as its rows need.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +40,19 @@ def _sum_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*cols, b["value"], pa.array(upto - value), pa.array(upto)], [*names, "value", "here", "upto"])
 
 
-def running_sum(df: DataFrame, id_col: str, group: Column, order: list[Column], value: Column | None = None) -> DataFrame:
-    """(id, group, value, before): for each row the sum of `value` (default 1: the row's place from 0) over the rows before it.
+def running_sum(df: DataFrame, id_col: str, group: Column, order: list[Column], value: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, group, value, before, *keep): for each row the sum of `value` (default 1: the row's place from 0) over the rows before it.
 
     Rows are ordered by `order`, then id; a null group is the group ''; null values count 0. Repeated ids follow each other.
     """
     keys = [f"k{i}" for i in range(len(order))]
     v = F.coalesce(value.cast("bigint"), F.lit(0)) if value is not None else F.lit(1)
-    d = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(group.cast("string"), F.lit("")).alias("group"), v.cast("bigint").alias("value"), *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+    d = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(group.cast("string"), F.lit("")).alias("group"), v.cast("bigint").alias("value"), *[o.alias(k) for o, k in zip(order, keys, strict=True)], *keep)
     by = ["group", *keys, "id"]
-    spread = d.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by).select("id", "group", "value", F.spark_partition_id().alias("part"))
-    placed = cut(spread.mapInArrow(_sum_in_order, "id bigint, group string, part int, value bigint, here bigint, upto bigint"), "running")
+    spread = d.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by).select("id", "group", "value", F.spark_partition_id().alias("part"), *keep)
+    placed = cut(spread.mapInArrow(_sum_in_order, "id bigint, group string, part int, " + "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep) + "value bigint, here bigint, upto bigint"), "running")
     # at most one row per partition and one per group
     pieces = placed.groupBy("group", "part").agg(F.max("upto").alias("n"))
     offset = F.coalesce(F.expr("sum(n) over (partition by group order by part rows between unbounded preceding and 1 preceding)"), F.lit(0))
     offsets = cut(pieces.select("group", "part", offset.alias("offset")), "offsets")
-    return placed.join(bounded_broadcast(offsets), ["group", "part"]).select("id", "group", "value", (F.col("here") + F.col("offset")).alias("before"))
+    return placed.join(bounded_broadcast(offsets), ["group", "part"]).select("id", "group", "value", (F.col("here") + F.col("offset")).alias("before"), *keep)
