@@ -41,6 +41,8 @@ ID_WORDS = {"هوية", "الهوية", "جواز", "الجواز", "شخصية"
 _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]|[\[(]dot[\])])*[ ]?(?:@|[\[(]at[\])])[ ]?[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[(]dot[\])][ ]?)[A-Za-z0-9-]+)+", re.I)
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _NUMBER = re.compile(r"(?<![\w@/.,:-])(?:[+(]{1,2})?(?:[A-Z]{1,2}[ -]?)?\d(?:[A-Z]{2}(?=\d))?(?:[ .()-]{0,2}\d(?:[A-Z]{2}(?=\d))?)*(?![\w/]|[.,]\d)")
+#: A label stands in the line of its number, after the number before.
+_AFTER_NUMBER = re.compile(r"(?s)^.*[\d\n]")
 #: What every number of interest holds; quick to look for.
 _LONG_NUMBER = re.compile(r"\d(?:[ .()-]{0,2}[A-Z]{0,2}\d){4}")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\.?|\S")
@@ -84,7 +86,7 @@ def numbers(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         n = _digits(s)
         if n < 7 and not (n >= 5 and any("A" <= c <= "Z" for c in s)) or n > 15:
             continue
-        before = [w.casefold() for w in _LETTERS.findall(hidden[max(0, m.start() - 60) : m.start()].rsplit("\n", 1)[-1])[-4:]]
+        before = [w.casefold() for w in _LETTERS.findall(_AFTER_NUMBER.sub("", hidden[max(0, m.start() - 60) : m.start()]))[-4:]]
         hint = next(("phone" if w in PHONE_WORDS else "id_number" for w in reversed(before) if w in PHONE_WORDS or w in ID_WORDS), "")
         yield m.start(), m.end(), s, [" ".join(before[-2:]), before[-1] if before else "", hint]
 
