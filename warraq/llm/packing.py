@@ -129,7 +129,7 @@ def _assign(starts: np.ndarray, sizes: np.ndarray, pattern: np.ndarray, many: np
             inside = (key >= starts[at]) & (key < starts[at] + sizes[at]) if len(starts) else np.zeros(len(key), bool)
             p = np.where(inside, pattern[at] if len(starts) else -1, -1)
             k = np.where(inside, (key - (starts[at] if len(starts) else 0)) // (many[at] if len(starts) else 1), 0)
-            yield pa.RecordBatch.from_arrays([b["item"], b["tokens"], pa.array(p.astype(np.int64)), pa.array(k.astype(np.int64))], ["item", "tokens", "pattern", "number"])
+            yield pa.RecordBatch.from_arrays([b["item"], b["row"], b["piece"], b["start"], b["tokens"], pa.array(p.astype(np.int64)), pa.array(k.astype(np.int64))], ["item", "row", "piece", "start", "tokens", "pattern", "number"])
 
     return run
 
@@ -143,7 +143,7 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
     pieces = sizes.select("id", "tokens").filter((n > 0) & F.col("id").isNotNull()).withColumn("piece", F.explode(cuts)).select("id", "piece", (F.col("piece") * capacity).alias("start"), F.least(n - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("tokens"))
     full = pieces.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "id", "piece"))
     # each row's short piece under a number of its own, as ids may repeat; a cut, so the numbers stay
-    rest = cut(pieces.filter(F.col("tokens") < capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    rest = cut(pieces.filter(F.col("tokens") < capacity).withColumn("item", F.monotonically_increasing_id()).withColumnRenamed("id", "row"), "pieces")
     step = F.ceil(F.col("tokens") / width).cast("int")
     counts = rest.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # at most STEPS rows, whatever the table's size
     hist = np.zeros(steps + 1, dtype=np.int64)
@@ -158,9 +158,9 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
             used[b] = used.get(b, 0) + m * times
     entries.sort()
     arrays = [np.array([e[i] for e in entries], dtype=np.int64) for i in range(4)]
-    ranked = running_sum(rest, "item", F.least(step, F.lit(steps)), []).select(F.col("id").alias("item"), F.col("group").cast("int").alias("step"), F.col("before").alias("rank"))
-    ranked = ranked.join(rest.select("item", "tokens"), "item")
-    placed = cut(ranked.mapInArrow(_assign(*arrays), "item bigint, tokens bigint, pattern bigint, number bigint"), "placed")
+    ranked = running_sum(rest, "item", F.least(step, F.lit(steps)), [], keep=["tokens", "row", "piece", "start"])
+    ranked = ranked.select(F.col("id").alias("item"), F.col("group").cast("int").alias("step"), F.col("before").alias("rank"), "tokens", "row", "piece", "start")
+    placed = cut(ranked.mapInArrow(_assign(*arrays), "item bigint, row bigint, piece bigint, start bigint, tokens bigint, pattern bigint, number bigint"), "placed")
     by_pattern = placed.filter("pattern >= 0").withColumn("container", F.concat_ws("-", F.lit("pattern"), "pattern", "number"))
     left = placed.filter("pattern < 0")
     blocks = max(1, -(-left.count() // RESIDUAL))
@@ -168,9 +168,8 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
         pdf = pdf.sort_values("item", kind="stable")
-        return pd.DataFrame({"item": pdf["item"], "tokens": pdf["tokens"], "container": [f"rest-{block}-{c}" for c in best_fit(pdf["tokens"].tolist(), capacity)]})
+        return pd.DataFrame({"id": pdf["row"], "piece": pdf["piece"], "start": pdf["start"], "tokens": pdf["tokens"], "container": [f"rest-{block}-{c}" for c in best_fit(pdf["tokens"].tolist(), capacity)]})
 
-    by_fit = left.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))).groupBy("block").applyInPandas(fit, "item bigint, tokens bigint, container string")
-    short = by_pattern.select("item", "tokens", "container").unionByName(by_fit)
-    where = rest.select("item", "id", "piece", "start").join(short, "item").select("id", "piece", "start", "tokens", "container")
-    return full.select("id", "piece", "start", "tokens", "container").unionByName(where)
+    by_fit = left.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))).groupBy("block").applyInPandas(fit, "id bigint, piece bigint, start bigint, tokens bigint, container string")
+    short = by_pattern.select(F.col("row").alias("id"), "piece", "start", "tokens", "container").unionByName(by_fit)
+    return full.select("id", "piece", "start", "tokens", "container").unionByName(short)
