@@ -224,10 +224,14 @@ def loaded_ratio(tokens: Column, lexicon: dict[str, float]) -> Column:
     phrases = sorted(lexicon, key=lambda p: (-len(p.split()), p))
     pattern = "(?<=^| )(?:" + "|".join("\\Q" + p + "\\E" for p in phrases) + ")(?= |$)"
     weights = F.create_map(*[x for p in phrases for x in (F.lit(p), F.lit(float(lexicon[p])))])
-    met = F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))
-    total = F.aggregate(F.transform(met, lambda m: F.coalesce(F.try_element_at(weights, m), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    count = F.when(joined == "", 0).otherwise(F.regexp_count(joined, F.lit(" ")) + 1)
-    return F.coalesce(F.try_divide(total, count), F.lit(0.0))
+
+    def share(stems: Column) -> Column:
+        met = F.regexp_extract_all(stems, F.lit(pattern), F.lit(0))
+        total = F.aggregate(F.transform(met, lambda m: F.coalesce(F.try_element_at(weights, m), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+        count = F.when(stems == "", 0).otherwise(F.regexp_count(stems, F.lit(" ")) + 1)
+        return F.coalesce(F.try_divide(total, count), F.lit(0.0))
+
+    return F.transform(F.array(joined), share)[0]  # bound once, as an array of one
 
 
 def head_tail(c: Column, most: int = 200, each: int = 100) -> Column:
