@@ -1,4 +1,4 @@
-"""Queries for the reference capabilities, each over its whole tables, with the SQL that must agree."""
+"""Queries for the core operators, each over its whole tables, with the SQL that must agree."""
 
 from __future__ import annotations
 
