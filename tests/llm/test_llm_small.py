@@ -37,6 +37,13 @@ def test_same_look_same_skeleton(spark):
     assert [tuple(r) for r in got] == [(2, 3)]
 
 
+def test_clean_title_looks_like_its_faulty_twin(spark):
+    twins = [("أنباء إيران", "أنباء\u200b إيران"), ("سؤال", "سو\u0654ال"), ("café noir", "café\u00a0noir"), ("cote", "cot\u0435"), ("فى بيت", "في بيت")]
+    d = spark.createDataFrame([(x,) for pair in twins for x in pair], "title string")
+    got = sorted(r["example"] for r in skeleton.same_looking(d, "title").filter("n_forms = 2 and n_rows = 2").collect())
+    assert got == sorted(min(p) for p in twins[:4])
+
+
 def test_faulty_fields(spark):
     d = spark.createDataFrame([(1, "a​", None, "x"), (1, "a​", "ok", "y"), (None, "", "b c", "z")], "id long, title string, content string, field_name string")
     got = [tuple(r) for r in skeleton.faulty_fields(d, "id", ["title", "content"]).select("id", "field_name", "consistent").collect()]

@@ -154,6 +154,8 @@ def skeleton_column(c: Column) -> Column:
 
 #: The JVM-side gate: only texts with a character outside the harmless ones go through Python.
 GATE = f"[^{_CLEAN}]"  # the escapes mean the same in Java
+#: Texts without such a character are their own skeleton.
+NOT_ASCII = r"[^\x00-\x7f]"
 
 
 def faulty_fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -172,6 +174,7 @@ def same_looking(df: DataFrame, field: str) -> DataFrame:
     Rows are first combined by value, so a value held by a third of the rows counts as one; nulls are left out, empty values form no group.
     """
     v = df.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))
-    v = v.withColumn("skeleton", F.when(F.col("value").rlike(GATE), skeleton_column(F.col("value"))).otherwise(F.col("value")))
+    # not by GATE: composed letters are harmless to look at, but decomposed in a skeleton
+    v = v.withColumn("skeleton", F.when(F.col("value").rlike(NOT_ASCII), skeleton_column(F.col("value"))).otherwise(F.col("value")))
     g = v.groupBy(F.sha2(F.col("skeleton"), 256).alias("skeleton_hash")).agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"), F.min("value").alias("example"))
     return g.filter("n_forms > 1")
