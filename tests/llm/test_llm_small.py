@@ -44,6 +44,22 @@ def test_clean_title_looks_like_its_faulty_twin(spark):
     assert got == sorted(min(p) for p in twins[:4])
 
 
+def test_same_looking_contents(spark, tmp_path):
+    from warraq.llm.queries import p7_same_looking
+
+    d = [("t", "أنباء إيران"), ("t", "أنباء\u200b إيران"), ("t\u200b", "أنباء إيران"), ("u", None), (None, "أنباء\u200b إيران")]
+    spark.createDataFrame(d, "title string, content string").write.parquet(f"{tmp_path}/articles.parquet")
+    got = rows(p7_same_looking(spark, str(tmp_path)).select("field_name", "n_forms", "n_rows", "example"))
+    assert got == [("content", 2, 4, "أنباء إيران"), ("title", 2, 3, "t")]
+
+
+def test_found_values_look_like_their_consistent_form():
+    for x in ("Trаnsport", "a\u200bb\u00a0c", "فی", "دوﻻر", "cafe\u0301", "ＡＢ１"):
+        c = skeleton.consistent(x)
+        assert c != x and skeleton.skeleton(c) == skeleton.skeleton(x)
+    assert skeleton.skeleton("cafe\u0301") == "cafe\u0301"  # a fault that a change of skeleton would not show
+
+
 def test_faulty_fields(spark):
     d = spark.createDataFrame([(1, "a​", None, "x"), (1, "a​", "ok", "y"), (None, "", "b c", "z")], "id long, title string, content string, field_name string")
     got = [tuple(r) for r in skeleton.faulty_fields(d, "id", ["title", "content"]).select("id", "field_name", "consistent").collect()]

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from warraq.runtime import bounded_broadcast, cut
+
 # Look-alike letters and the Latin letter they resemble.
 CYRILLIC = "АВЕЗІЈКМНОРСТУХЅҮԌԚԜаеіјорсухѕԁԛԝһү"
 CYRILLIC_AS = "ABE3IJKMHOPCTYXSYGQWaeijopcyxsdqwhy"
@@ -171,10 +173,15 @@ def faulty_fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 def same_looking(df: DataFrame, field: str) -> DataFrame:
     """Groups of different values of `field` with one skeleton: (skeleton_hash, n_forms, n_rows, example).
 
-    Rows are first combined by value, so a value held by a third of the rows counts as one; nulls are left out, empty values form no group.
+    Rows are first combined by hashes of skeleton and value, so a value held by a third of the rows counts as one and no long
+    text moves; only the texts of found groups are read again, for the example. Nulls are left out, empty values form no group.
     """
-    v = df.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))
+    v = df.filter(F.col(field).isNotNull()).select(F.col(field).alias("value"))
     # not by GATE: composed letters are harmless to look at, but decomposed in a skeleton
-    v = v.withColumn("skeleton", F.when(F.col("value").rlike(NOT_ASCII), skeleton_column(F.col("value"))).otherwise(F.col("value")))
-    g = v.groupBy(F.sha2(F.col("skeleton"), 256).alias("skeleton_hash")).agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"), F.min("value").alias("example"))
-    return g.filter("n_forms > 1")
+    s = F.when(F.col("value").rlike(NOT_ASCII), skeleton_column(F.col("value"))).otherwise(F.col("value"))
+    form = F.unhex(F.sha2("value", 256))
+    forms = cut(v.select(F.sha2(s, 256).alias("skeleton_hash"), form.alias("form")).groupBy("skeleton_hash", "form").agg(F.count("*").alias("n")), "forms")
+    g = cut(forms.groupBy("skeleton_hash").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows")).filter("n_forms > 1"), "groups")
+    of_groups = cut(forms.select("skeleton_hash", "form").join(g, "skeleton_hash", "left_semi"), "forms-of-groups")
+    least = v.withColumn("form", form).join(bounded_broadcast(of_groups), "form").groupBy("skeleton_hash").agg(F.min("value").alias("example"))
+    return g.join(least, "skeleton_hash")
