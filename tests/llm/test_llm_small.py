@@ -341,3 +341,13 @@ def test_personal_data(spark):
     assert out[0] == "Mr. [NAME] said that the market opened. [NAME] left." and out[13] is None and out[15] == texts[15]
     assert out[10] == "Invoice no. 48966140 was paid, ID no. [ID_NUMBER] was not."
     assert personal.found(d.limit(0), given).count() == 0
+
+
+def test_a_slip_in_every_word_is_proposed(spark):
+    slips = [
+        ("organizations", "شركة نادر سالم", "شركة نارد سامل"), ("locations", "مدار نهار", "مدار هنار"), ("persons", "زكريا الطاصضاحي", "زكريا الطاصضانحي"),
+        ("persons", "إبراهيم الحاععي", "إبراهيم اليحاععي"), ("persons", "يوسف الفنانطي", "يوسف الفنامنطي"), ("locations", "Bir Boughkalqa", "Bir Bougnhkalqa"),
+    ]
+    d = spark.createDataFrame([([x] if f == "persons" else [], [x] if f == "organizations" else [], [x] if f == "locations" else []) for f, *two in slips for x in two], "persons array<string>, organizations array<string>, locations array<string>")
+    got = {tuple(r) for r in names.spelling_pairs(names.entities(d, ["persons", "organizations", "locations"])).collect()}
+    assert got == {(f, *sorted(two)) for f, *two in slips}
