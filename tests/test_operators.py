@@ -40,6 +40,26 @@ def test_dedup_kinds(spark):
     assert got[3] == got[4] == got[5] == (False, None) and got[7] == (True, "exact") and got[8] == (False, None)
 
 
+def test_dedup_against_known(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, near, other = " ".join(words), " ".join([*words[:39], "zz"]), " ".join(f"v{i}" for i in range(9))
+    known = spark.createDataFrame([(1, text), (9, near), (5, other)], "id long, text string")
+    d = spark.createDataFrame([(1, other), (2, near), (3, text.upper()), (4, "a new text here"), (5, "a new text here"), (6, None), (7, " ".join([*words[:38], "yy", "zz"]))], "id long, text string")
+    got = {r["id"]: (r["is_duplicate"], r["dup_kind"]) for r in dedup.deduplicated(d, "id", F.col("text"), known=known).collect()}
+    assert got == {1: (True, "exact"), 2: (True, "exact"), 3: (True, "exact"), 4: (False, None), 5: (True, "exact"), 6: (False, None), 7: (True, "near")}
+
+
+def test_ingest_leaves_out_copies_of_stored_articles(spark):
+    from warraq.plans import pipeline
+
+    text = "اعلنت الوزارة اليوم عن خطة جديدة لتطوير التعليم في جميع المدارس خلال العام القادم"
+    cols = "id long, url string, title string, content string, source_name string"
+    known = spark.createDataFrame([(1, "u1", "خطة التعليم", text, "s")], cols)
+    raw = spark.createDataFrame([(1, "u2", "خطة التعليم", text, "s"), (2, "u3", "خبر اخر", "زار الوفد مدينة القدس والتقى عددا من السكان في البلدة القديمة", "s")], cols)
+    sources = spark.read.parquet("/root/testdata/sf0.001/sources.parquet")
+    assert [r["id"] for r in pipeline.ingest(raw, known, sources).collect()] == [2]
+
+
 def test_overlapping_against_brute_force(spark):
     rng = random.Random(5)
     base = [rng.sample(range(1000), rng.randint(5, 40)) for _ in range(12)]

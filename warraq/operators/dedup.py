@@ -32,40 +32,43 @@ def shingle_rows(df: DataFrame, id_col: str, text: Column, size: int = 3) -> Dat
     return d.select("id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
 
 
-def overlapping(rows: DataFrame, least: float = 0.82) -> DataFrame:
+def overlapping(rows: DataFrame, least: float = 0.82, asked: Column | None = None) -> DataFrame:
     """(a, b, overlap), a < b, of all pairs with that Jaccard overlap, by an exact prefix filter.
 
     Two sets of overlap t share one of their n - ceil(t n) + 1 rarest members, so only those are joined; texts of one set
-    are combined first. `rows` should be a cut.
+    are combined first. `rows` should be a cut. With `asked`, a condition on id, only pairs with such a row.
     """
     sets = rows.groupBy("id", "n").agg(F.sort_array(F.collect_list("shingle")).alias("s"))
     sets = cut(sets.withColumn("f", F.md5(F.array_join("s", ","))), "sets")
-    classes = sets.groupBy("f").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    asked = F.lit(True) if asked is None else asked
+    classes = sets.groupBy("f").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.max(asked).alias("any"))
     reps = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     df = rows.join(reps.select("id"), "id", "left_semi").groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = reps.select("id", "n", F.explode("s").alias("shingle")).join(df, "shingle", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("r"))
     prefix = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list("r")).alias("r")).select("id", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("r"))
     p = cut(prefix.filter("r.df > 1").select("id", "n", F.col("r.shingle").alias("k")), "prefix")
-    a, b = p.toDF("a", "na", "k"), p.toDF("b", "nb", "k")
-    met = a.join(b, "k").filter(F.expr(f"a < b and least(na, nb) >= {least} * greatest(na, nb) - 1e-9")).select("a", "b").distinct()
+    few = p.join(classes.filter("any").select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "k")
+    a, b = p.toDF("a", "na", "k"), few.toDF("b", "nb", "k")
+    met = a.join(b, "k").filter(F.expr(f"a <> b and least(na, nb) >= {least} * greatest(na, nb) - 1e-9")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     found = met.join(x, "a").join(y, "b").withColumn("overlap", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("overlap") >= least).select("a", "b", "overlap")
-    member = sets.join(classes, "f").select("id", "rep", "m")
-    wide = found.join(member.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(member.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib", "overlap")
+    member = sets.join(classes, "f").select("id", "rep", "m", asked.alias("asked"))
+    x, y = member.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.col("asked").alias("qa")), member.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.col("asked").alias("qb"))
+    wide = found.join(x, "a").join(y, "b").filter("qa or qb").select("ia", "ib", "overlap")
     several = member.filter("m > 1")
-    same = several.select("rep", F.col("id").alias("ia")).join(several.select("rep", F.col("id").alias("ib")), "rep").filter("ia < ib").select("ia", "ib", F.lit(1.0).alias("overlap"))
+    same = several.select("rep", F.col("id").alias("ia")).join(several.filter("asked").select("rep", F.col("id").alias("ib")), "rep").filter("ia <> ib").select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), F.lit(1.0).alias("overlap")).distinct()
     return wide.unionByName(same).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "overlap")
 
 
-def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+def greedy(ids: DataFrame, pairs: DataFrame, before: Column | None = None) -> DataFrame:
     """(id, is_duplicate): in id order, a row is a duplicate if it overlaps an accepted earlier one.
 
     Rounds to a fixed point: a row without undecided or accepted earlier neighbours is accepted, one with an accepted
-    earlier neighbour rejected. Only rows with a neighbour take part; each round is a cut.
+    earlier neighbour rejected. Only rows with a neighbour take part; each round is a cut. Rows with `before`, a condition on id, are accepted from the start.
     """
     edges = cut(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")), "edges")
-    state = cut(edges.select(F.explode(F.array("early", "late")).alias("id")).distinct().withColumn("state", F.lit(None).cast("boolean")), "state")
+    state = cut(edges.select(F.explode(F.array("early", "late")).alias("id")).distinct().withColumn("state", F.when(F.lit(False) if before is None else before, True)), "state")
     while not state.filter("state is null").isEmpty():
         seen = edges.join(state.withColumnRenamed("id", "early"), "early").groupBy(F.col("late").alias("id")).agg(F.max(F.coalesce(F.col("state"), F.lit(False))).alias("hit"), F.max(F.col("state").isNull()).alias("open"))
         nxt = state.join(seen, "id", "left")
@@ -74,14 +77,19 @@ def greedy(ids: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, id_col: str, text: Column, least: float = 0.82, known: DataFrame | None = None) -> DataFrame:
-    """(id, is_duplicate, dup_kind) under the greedy rule; `known` (same columns) is accepted beforehand. Blank texts are never duplicates."""
+    """(id, is_duplicate, dup_kind) under the greedy rule; `known` (same columns) is accepted beforehand. Blank texts are never duplicates.
+
+    Ids of both sides may meet: within, an id is (new, id), so the known come first; known rows are not compared with each other.
+    """
+    asked = before = None
     if known is not None:
-        df = known.select(F.lit(0).alias("new"), F.col(id_col), text.alias("_t")).unionByName(df.select(F.lit(1).alias("new"), F.col(id_col), text.alias("_t")))
-        text = F.col("_t")
+        both = [d.select(F.struct(F.lit(new).alias("new"), F.col(id_col).alias("id")).alias("_id"), text.alias("_t")) for new, d in enumerate((known, df))]
+        df, id_col, text = cut(both[0].unionByName(both[1]), "known-and-new"), "_id", F.col("_t")
+        asked, before = F.col("id.new") == 1, F.col("id.new") == 0
     rows = cut(shingle_rows(df, id_col, text), "shingles")
-    state = cut(greedy(df.select(F.col(id_col).alias("id")), overlapping(rows, least)), "decided")
+    state = cut(greedy(df.select(F.col(id_col).alias("id")), overlapping(rows, least, asked), before), "decided")
     fp = df.select(F.col(id_col).alias("id"), t.fingerprint(text).alias("fp"))
     accepted = fp.join(state.filter("not is_duplicate"), "id").groupBy("fp").agg(F.min("id").alias("first"))
     out = state.join(fp, "id").join(accepted, "fp", "left").withColumn("dup_kind", F.when(F.col("is_duplicate"), F.when(F.col("first") < F.col("id"), "exact").otherwise("near")))
     out = out.select("id", "is_duplicate", "dup_kind")
-    return out if known is None else out.join(df.filter("new = 1").select(F.col(id_col).alias("id")), "id", "left_semi")
+    return out if known is None else out.filter(asked).select(F.col("id.id").alias("id"), "is_duplicate", "dup_kind")

@@ -45,7 +45,7 @@ def stories(d: DataFrame, batch: str, seq: str) -> DataFrame:
 
 
 def ingest(raw: DataFrame, known: DataFrame, sources: DataFrame, seq: str = "id") -> DataFrame:
-    """New urls, prepared, without duplicates, scored."""
+    """New urls, prepared, without duplicates of each other or of a known article (same columns as `raw`), scored."""
     d = prepared(dedup.new_urls(raw, known, seq))
-    dup = dedup.deduplicated(d, seq, F.col("content_clean"))
+    dup = dedup.deduplicated(d, seq, F.col("content_clean"), known=prepared(known))
     return scored(d.join(dup.filter("not is_duplicate").select(F.col("id").alias(seq)), seq), sources)
