@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.operators import clustering, dedup, feedback, metrics, sampling
+from warraq.operators import clustering, dedup, feedback, metrics, sampling, scoring, similarity, summaries
+from warraq.streaming import ingest
 from warraq.operators.prefix import running_sum
 from warraq.runtime import cut
 
@@ -72,7 +73,12 @@ def test_overlapping_against_brute_force(spark):
         sets.append(s)
     d = cut(spark.createDataFrame([(i, len(s), x) for i, s in enumerate(sets) for x in sorted(s)], "id long, n int, shingle long"))
     want = [(i, j) for i in range(80) for j in range(i + 1, 80) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.82]
-    assert [r[:2] for r in rows(dedup.overlapping(d))] == want and want
+    members, links = dedup.set_links(d)
+    of = {}
+    for i, rep in rows(members):
+        of.setdefault(rep, []).append(i)
+    got = {tuple(sorted((i, j))) for a, b, _ in rows(links) for i in of[a] for j in of[b]} | {(i, j) for g in of.values() for i in g for j in g if i < j}
+    assert sorted(got) == want and want
 
 
 def test_clustering_thresholds():
@@ -135,3 +141,87 @@ def test_jobs(spark):
     assert done == {1: ("COMPLETED", False), 2: ("COMPLETED", True)}
     failed = {r["id"]: (r["status"], r["is_active"]) for r in feedback.finish_job(jobs, 2, None, "boom").collect()}
     assert failed == {1: ("COMPLETED", True), 2: ("FAILED", False)}
+
+
+def test_last_listing_gives_the_authority(spark):
+    s = spark.createDataFrame([("A", 0.9, 0), ("B", 0.7, 1), ("A", 0.4, 2)], "name string, reliability_score double, at int").coalesce(1)
+    d = spark.createDataFrame([("A",), ("B",), (None,)], "source_name string")
+    want = {("A", 0.4), ("B", 0.7), (None, 0.4)}
+    for x in (scoring.authority(d, s), scoring.authority(d, s, position=F.col("at"))):
+        assert {tuple(r) for r in x.select("source_name", "authority").collect()} == want
+
+
+def test_sums_of_any_sign_run_over_parts(spark):
+    d = spark.createDataFrame([(i, (i * 7) % 5 - 3) for i in range(60)], "id long, v int")
+    got = {r["id"]: r["before"] for r in running_sum(d, "id", F.lit(""), [], F.col("v")).collect()}
+    total = 0
+    for i in range(60):
+        assert got[i] == total
+        total += (i * 7) % 5 - 3
+
+
+def test_nearest_against_scan(spark):
+    rng = random.Random(9)
+    data = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    data[7] = (7, data[8][1])  # a tie
+    d = spark.createDataFrame([*data, (60, None)], "id long, v array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {(q, i, k + 1) for q in (0, 20, 40) for k, (_, i) in enumerate(sorted((-round(cos(data[q][1], v), 12), i) for i, v in data if i != q)[:4])}
+    assert {tuple(r) for r in similarity.nearest(d.filter("id % 20 = 0"), d, "id", "v", 4).collect()} == want
+    assert similarity.nearest(d.limit(0), d, "id", "v", 4).count() == 0
+
+
+def test_samples(spark):
+    d = spark.createDataFrame([(i, i % 3 == 0 if i % 7 else None) for i in range(50)], "id long, ok boolean")
+    s = sampling.split(d, "id").groupBy("held_out").count().collect()
+    assert {tuple(r) for r in s} == {(False, 45), (True, 5)}
+    assert sampling.shuffled(d, "id", 10).count() == 10 and sampling.shuffled(d.limit(0), "id", 10).count() == 0
+    assert sorted(r["right"] for r in sampling.right_and_wrong(d, "id", F.col("ok")).collect()) == [False] * 5 + [True] * 5
+    assert sorted(r["place"] for r in sampling.numbered(d, "id", F.col("ok").cast("string")).filter("place = 1").collect()) == [1, 1, 1]
+
+
+def test_near_duplicate_sink_keeps_its_state_in_the_store(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    schema = "id long, text string"
+    known = spark.createDataFrame([(1, "old " + text)], schema)
+    sink = ingest.near_deduplicated_sink(f"{tmp_path}/store", "id", "text", known=known)
+    sink(spark.createDataFrame([(2, text + " end"), (3, "another text of some words here"), (4, None)], schema), 0)
+    again = spark.createDataFrame([(3, "another text of some words here"), (5, "another text of some words here"), (6, "new words " + text[::-1])], schema)
+    sink(again, 1)
+    sink(again, 1)
+    # 2 nearly copies what was known, 5 copies 3, and the batch that comes twice adds nothing
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/store").collect()) == [3, 4, 6]
+
+
+def test_summary_feedback(spark):
+    clusters = spark.createDataFrame([(1, "s"), (2, None)], "id long, summary string")
+    articles = spark.createDataFrame([(1, 1, "", "body", "t"), (2, 1, None, None, "title"), (3, None, "x", "x", "x")], "id long, cluster_id long, content_clean string, content string, title string")
+    f = spark.createDataFrame([(1, 1, False, "gen", "better", "approved"), (2, 1, True, "gen", "better", "approved"), (3, 1, False, "gen", "", "pending"), (4, 9, True, "gen", "", "approved")], "id long, cluster_id long, user_rating boolean, generated_summary string, corrected_summary string, status string")
+    assert {tuple(r) for r in summaries.summary_records(clusters, f, articles).collect()} == {(1, 1, "body\n\ntitle", "better"), (2, 1, "body\n\ntitle", "gen")}
+    new = spark.createDataFrame([(7, 2, True, "g", None), (8, 5, True, "g", None)], "id long, cluster_id long, user_rating boolean, generated_summary string, corrected_summary string")
+    got = summaries.summary_feedback_inserted(f, clusters, new).filter("id > 6").collect()
+    assert [(r["id"], r["status"]) for r in got] == [(7, "pending")]
+    pairs = spark.createDataFrame([("a ", "s", "t"), ("b", "", "t"), ("", "s", "t"), ("c", None, None)], "text string, summary string, title string")
+    assert {tuple(r) for r in summaries.training_pairs(pairs).collect()} == {("a", "s"), ("b", "t")}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from warraq import runtime
+
+    none = SimpleNamespace(get=lambda *a: None)
+    s = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077"))
+    try:
+        runtime.shared_dir(s)
+    except RuntimeError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from warraq.runtime import is_small
+
+    d = spark.range(10).withColumn("x", F.lit("y" * 100))
+    assert is_small(d, 10, 2000) and not is_small(d, 9, 10_000) and not is_small(d, 10, 500)

@@ -6,6 +6,7 @@ the underscore, white space includes U+001C..U+001F. Null in, null out, unless a
 
 from __future__ import annotations
 
+import html as html_entities
 import unicodedata
 from collections.abc import Sequence
 
@@ -54,13 +55,24 @@ def truthy(*cs: Column) -> Column:
 
 
 def remove_html(c: Column) -> Column:
-    """Text of markup: scripts, styles and templates go with their content, other tags become a space, common entities are decoded."""
+    """Text of markup: scripts, styles and templates go with their content, other tags become a space, entities are decoded once."""
     c = F.regexp_replace(c, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     c = F.regexp_replace(c, r"</?[a-zA-Z][^>]*>", " ")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    return unescaped(c)
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(s: pd.Series) -> pd.Series:
+    return s.map(html_entities.unescape, na_action="ignore")
+
+
+def unescaped(c: Column) -> Column:
+    """Character references decoded once. The common ones stay in the JVM; only a text with another leaves it."""
+    common = c
+    for name, value in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        common = F.replace(common, F.lit(name), F.lit(value))
+    return F.when(c.rlike(r"&(?!(?:nbsp|lt|gt|quot|#39|apos|amp);)#?[a-zA-Z0-9]"), _unescape(c)).otherwise(common)
 
 
 def digits(c: Column) -> Column:
@@ -149,9 +161,12 @@ def fingerprint(c: Column) -> Column:
 
 def shingles(c: Column, size: int = 3) -> Column:
     """Distinct runs of `size` words; fewer words make one run."""
-    w = words(c)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
-    return F.when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+        return F.when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(every))
+
+    return F.transform(F.array(words(c)), runs)[0]  # the words are bound once, as an array of one
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -206,9 +221,9 @@ def without_sub_entities(a: Column) -> Column:
 
 
 def routed(spans: Column, group: str) -> Column:
-    """The words of one group of spans (array of struct entity_group, word); short words and word pieces left out."""
-    hits = F.filter(spans, lambda e: (e["entity_group"] == group) & (F.length(e["word"]) > 2) & ~e["word"].startswith("##"))
-    return without_sub_entities(F.transform(hits, lambda e: e["word"]))
+    """The words of one group of spans (array of struct entity_group, word) without the marks of word pieces; short ones are left out."""
+    hits = F.transform(F.filter(spans, lambda e: e["entity_group"] == group), lambda e: strip(F.replace(e["word"], F.lit("##"), F.lit(""))))
+    return without_sub_entities(F.filter(hits, lambda w: F.length(w) > 2))
 
 
 def loaded_ratio(tokens: Column, lexicon: dict[str, float]) -> Column:
@@ -260,9 +275,16 @@ ATTRIBUTION_CODES = {"supported_claim": 0, "unsupported_claim": 1}
 
 
 def source_label(c: Column) -> Column:
-    """A free label as neutral or propaganda; the negated form is tested first."""
-    s = F.lower(strip(c))
-    return F.when(s.contains("non-propagandistic") | s.isin("neutral", "false", "0", "no"), "neutral").when(s.contains("propagand") | s.isin("true", "1", "yes"), "propaganda")
+    """A free label as neutral or propaganda. Only what names propaganda, or says yes, is it; null and unknown labels are neutral."""
+    s = F.coalesce(F.lower(strip(c)), F.lit(""))
+    yes = s.isin("true", "1", "yes", "propaganda") | (s.contains("propagandistic") & ~s.contains("non-propagandistic"))
+    return F.when(yes, "propaganda").otherwise("neutral")
+
+
+def labels_of_source(c: Column) -> Column:
+    """struct(propaganda, statement, attribution): the other two labels follow from the first."""
+    p = source_label(c)
+    return F.struct(p.alias("propaganda"), F.when(p == "propaganda", "opinion").otherwise("reporting").alias("statement"), F.when(p == "propaganda", "unsupported_claim").otherwise("supported_claim").alias("attribution"))
 
 
 def gold_labels(labels: Column, first_only: bool = False) -> Column:
@@ -272,6 +294,32 @@ def gold_labels(labels: Column, first_only: bool = False) -> Column:
     return F.when(F.coalesce(F.size(t), F.lit(0)) <= 0, "Neutral").otherwise(t[0] if first_only else F.array_join(t, " | "))
 
 
+def gold_label(c: Column) -> Column:
+    """`gold_labels` of one label."""
+    s = strip(c)
+    none = F.coalesce(F.lower(s).isin("", "none", "false", "no technique"), F.lit(True))
+    return F.when(none, "Neutral").when(F.lower(s) == "true", "Propaganda").otherwise(s)
+
+
+def says_propaganda(c: Column) -> Column:
+    """Whether a generated text's verdict, or else its first line, is anything but neutral or nothing."""
+    verdict = F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?i)verdict\s*:\s*([{WORD}]+)", 1)
+    raw = F.when(verdict != "", verdict).otherwise(F.coalesce(c, F.lit("")))
+    return ~F.lower(strip(F.substring_index(strip(raw), "\n", 1))).isin("neutral", "", "none")
+
+
+def long_enough(c: Column, least: int = 10) -> Column:
+    """Whether a text has `least` characters without outer white space; a null has none."""
+    return F.coalesce(F.length(strip(c)) >= least, F.lit(False))
+
+
+def query_tokens(query: str, stop: Sequence[str]) -> Column:
+    """The tokens of a search text as an article's text gives them: cleaned, normal spelling, without the words of the list."""
+    q = unicodedata.normalize("NFC", query or "")
+    return without_stopwords(tokenize(normalize(clean(F.lit(q), html=False), compose=False)), stop)
+
+
+# Fixed value: the mark before a final verdict.
 FINAL_MARKER = r"التقييم\s*النهائي\s*[:：]?"
 
 
@@ -322,20 +370,28 @@ def strip_hook(c: Column) -> Column:
     return F.when(F.length(rest) > 80, rest).otherwise(t)
 
 
+# How far from the present a summary's years may lie, its longest length, the length under which it must not ask.
+YEARS_BACK, YEARS_AHEAD, LONGEST, ASKING = 5, 2, 600, 200
+#: Lines of a list: a number with its mark, or a lone dash.
+_NUMBERED, _DASH = r"(?:^|\n)\s*\d+\s*[.\-:]", r"(?:^|\n)\s*[ـ\-]\s*(?:\n|$)"
+
+
 def is_degenerate(c: Column, year: int) -> Column:
     """A summary that asks, lists, names years far from `year`, or is empty or too long."""
     s = strip(F.coalesce(c, F.lit("")))
-    years = F.regexp_extract_all(s, F.lit(rf"(?<![{WORD}])(1[0-9]{{3}}|2[0-9]{{3}})(?![{WORD}])"), F.lit(1))
-    far = F.exists(years, lambda y: (y.cast("int") < year - 5) | (y.cast("int") > year + 2))
-    return (F.coalesce(c, F.lit("")) == "") | s.rlike(r"[؟?]\z") | (s.rlike("[؟?]") & (F.length(s) < 200)) | s.rlike(r"(^|\n)\s*\d+\s*[.\-:]") | s.rlike(r"(^|\n)\s*[ـ\-]\s*(\n|$)") | far | (F.length(s) > 600)
+    years = F.transform(F.regexp_extract_all(s, F.lit(rf"(?<![{WORD}])([12]\d{{3}})(?![{WORD}])"), F.lit(1)), lambda y: y.cast("int"))
+    far = F.exists(years, lambda y: ~y.between(year - YEARS_BACK, year + YEARS_AHEAD))
+    asks = s.rlike(r"[؟?]\z") | s.rlike("[؟?]") & (F.length(s) < ASKING)
+    return (F.coalesce(c, F.lit("")) == "") | asks | s.rlike(_NUMBERED) | s.rlike(_DASH) | far | (F.length(s) > LONGEST)
 
 
 def tidy_summary(c: Column, articles: Column) -> Column:
+    """A summary without leading dashes, markup, lone dashes, numbered headings and blank lines; one of several articles is a list item."""
     s = strip(F.regexp_replace(strip(c), r"^[\s\-ـ]+", ""))
     s = F.when(articles >= 3, F.concat(F.lit("- "), s)).otherwise(s)
     s = strip(F.regexp_replace(s, "<[^>]+>", ""))
-    s = F.regexp_replace(s, r"(^|\n)\s*[ـ\-]\s*(\n|$)", "\n")
-    s = F.regexp_replace(s, r"(^|\n)\s*\d+\s*[.\-:]{1,2}\s*[^\n]*?:\s*", "\n")
+    s = F.regexp_replace(s, _DASH, "\n")
+    s = F.regexp_replace(s, r"(?:^|\n)\s*\d+\s*[.\-:]{1,2}\s*[^\n]*?:\s*", "\n")
     return strip(F.regexp_replace(s, r"\n{2,}", "\n"))
 
 

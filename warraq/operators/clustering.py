@@ -1,7 +1,7 @@
 """Incremental story clustering: within a batch each row joins the best earlier cluster or opens a new one.
 
-The fold is sequential by definition, so a batch (a query's few rows, at most a poll's intake) is one group; batches run in
-parallel. A row is compared only with earlier rows it has no place or title conflict with; a cluster's centroid is that of
+The fold is sequential by definition, so a batch (a query's rows or a poll's intake, some thousands at most) is one group;
+batches run in parallel. A batch must not be cut in pieces to save time, as a story may span all its sources. A row is compared only with earlier rows it has no place or title conflict with; a cluster's centroid is that of
 those rows alone; the threshold falls as shared entities and title stems raise the confidence.
 """
 

@@ -32,33 +32,29 @@ def shingle_rows(df: DataFrame, id_col: str, text: Column, size: int = 3) -> Dat
     return d.select("id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
 
 
-def overlapping(rows: DataFrame, least: float = 0.82, asked: Column | None = None) -> DataFrame:
-    """(a, b, overlap), a < b, of all pairs with that Jaccard overlap, by an exact prefix filter.
+def set_links(rows: DataFrame, least: float = 0.82, asked: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, links), cuts: (id, rep), rep being the least id with the same set; (a, b, overlap), a < b, of all reps with that
+    Jaccard overlap, by an exact prefix filter. Copies, however many, are one rep and are never paired.
 
-    Two sets of overlap t share one of their n - ceil(t n) + 1 rarest members, so only those are joined; texts of one set
-    are combined first. `rows` should be a cut. With `asked`, a condition on id, only pairs with such a row.
+    Two sets of overlap t share one of their n - ceil(t n) + 1 rarest members, so only those are joined. `rows` should be a
+    cut. With `asked`, a condition on id, only links of which a rep fulfils it.
     """
     sets = rows.groupBy("id", "n").agg(F.sort_array(F.collect_list("shingle")).alias("s"))
     sets = cut(sets.withColumn("f", F.md5(F.array_join("s", ","))), "sets")
     asked = F.lit(True) if asked is None else asked
-    classes = sets.groupBy("f").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.max(asked).alias("any"))
+    classes = sets.groupBy("f").agg(F.min("id").alias("rep"))
+    members = cut(sets.join(classes, "f").select("id", "rep"), "members")
     reps = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     df = rows.join(reps.select("id"), "id", "left_semi").groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = reps.select("id", "n", F.explode("s").alias("shingle")).join(df, "shingle", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("r"))
     prefix = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list("r")).alias("r")).select("id", "n", F.explode(F.slice("r", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("r"))
     p = cut(prefix.filter("r.df > 1").select("id", "n", F.col("r.shingle").alias("k")), "prefix")
-    few = p.join(classes.filter("any").select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "k")
+    few = p.filter(asked).select("id", "n", "k")
     a, b = p.toDF("a", "na", "k"), few.toDF("b", "nb", "k")
     met = a.join(b, "k").filter(F.expr(f"a <> b and least(na, nb) >= {least} * greatest(na, nb) - 1e-9")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), reps.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    found = met.join(x, "a").join(y, "b").withColumn("overlap", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("overlap") >= least).select("a", "b", "overlap")
-    member = sets.join(classes, "f").select("id", "rep", "m", asked.alias("asked"))
-    x, y = member.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.col("asked").alias("qa")), member.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.col("asked").alias("qb"))
-    wide = found.join(x, "a").join(y, "b").filter("qa or qb").select("ia", "ib", "overlap")
-    several = member.filter("m > 1")
-    same = several.select("rep", F.col("id").alias("ia")).join(several.filter("asked").select("rep", F.col("id").alias("ib")), "rep").filter("ia <> ib").select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), F.lit(1.0).alias("overlap")).distinct()
-    return wide.unionByName(same).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "overlap")
+    return members, cut(met.join(x, "a").join(y, "b").withColumn("overlap", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("overlap") >= least).select("a", "b", "overlap"), "links")
 
 
 def greedy(ids: DataFrame, pairs: DataFrame, before: Column | None = None) -> DataFrame:
@@ -87,7 +83,13 @@ def deduplicated(df: DataFrame, id_col: str, text: Column, least: float = 0.82,
         df, id_col, text = cut(both[0].unionByName(both[1]), "known-and-new"), "_id", F.col("_t")
         asked, before = F.col("id.new") == 1, F.col("id.new") == 0
     rows = cut(shingle_rows(df, id_col, text), "shingles")
-    state = cut(greedy(df.select(F.col(id_col).alias("id")), overlapping(rows, least, asked), before), "decided")
+    members, links = set_links(rows, least, asked)
+    # of one set, the first row decides: if it is accepted the others are its duplicates, if not they overlap what it overlaps
+    reps = greedy(members.select(F.col("rep").alias("id")).distinct(), links, before).select(F.col("id").alias("rep"), "is_duplicate")
+    by_set = members.join(reps, "rep").select("id", ((F.col("id") != F.col("rep")) | F.col("is_duplicate")).alias("is_duplicate"))
+    if before is not None:
+        by_set = by_set.withColumn("is_duplicate", F.col("is_duplicate") & ~before)
+    state = cut(df.select(F.col(id_col).alias("id")).join(by_set, "id", "left").select("id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate")), "decided")
     fp = df.select(F.col(id_col).alias("id"), t.fingerprint(text).alias("fp"))
     accepted = fp.join(state.filter("not is_duplicate"), "id").groupBy("fp").agg(F.min("id").alias("first"))
     out = state.join(fp, "id").join(accepted, "fp", "left").withColumn("dup_kind", F.when(F.col("is_duplicate"), F.when(F.col("first") < F.col("id"), "exact").otherwise("near")))

@@ -52,7 +52,7 @@ def running_sum(df: DataFrame, id_col: str, group: Column, order: list[Column],
     spread = d.repartitionByRange(partitions(df.sparkSession), *by).sortWithinPartitions(*by).select("id", "group", "value", F.spark_partition_id().alias("part"), *keep)
     placed = cut(spread.mapInArrow(_sum_in_order, "id bigint, group string, part int, " + "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keep) + "value bigint, here bigint, upto bigint"), "running")
     # at most one row per partition and one per group
-    pieces = placed.groupBy("group", "part").agg(F.max("upto").alias("n"))
+    pieces = placed.groupBy("group", "part").agg(F.sum("value").alias("n"))
     offset = F.coalesce(F.expr("sum(n) over (partition by group order by part rows between unbounded preceding and 1 preceding)"), F.lit(0))
     offsets = cut(pieces.select("group", "part", offset.alias("offset")), "offsets")
     return placed.join(bounded_broadcast(offsets), ["group", "part"]).select("id", "group", "value", (F.col("here") + F.col("offset")).alias("before"), *keep)

@@ -28,11 +28,11 @@ def oversampled(df: DataFrame, id_col: str, minority: Column, ratio: float = 0.5
     return j.withColumn("copies", copies.cast("int")).drop("_m", "_r", "target", "pos")
 
 
-def blocks(df: DataFrame, id_col: str, n_rows: int, n_blocks: int = 24, size: int = 250, seed: int = 11) -> DataFrame:
+def blocks(df: DataFrame, id_col: str, n_blocks: int = 24, size: int = 250, seed: int = 11) -> DataFrame:
     """(block, id): `n_blocks` runs of `size` rows at even steps of a seeded shuffle; blocks of a small table overlap."""
-    step = max(0, (n_rows - size) // max(1, n_blocks - 1))
-    p = places(df, id_col, seed)
-    starts = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(b * step).alias("start")) for b in range(n_blocks)])
+    n = df.agg(F.greatest(F.lit(0), F.floor((F.count("*") - size) / max(1, n_blocks - 1))).alias("step"))
+    p = places(df, id_col, seed).join(F.broadcast(n))  # one row
+    starts = F.array(*[F.struct(F.lit(b).alias("block"), (F.lit(b) * F.col("step")).alias("start")) for b in range(n_blocks)])
     hit = F.filter(starts, lambda s: (F.col("place") >= s["start"]) & (F.col("place") < s["start"] + size))
     return p.select("id", F.explode(hit).alias("s")).select(F.col("s.block").alias("block"), "id")
 
@@ -40,3 +40,27 @@ def blocks(df: DataFrame, id_col: str, n_rows: int, n_blocks: int = 24, size: in
 def stratified(df: DataFrame, id_col: str, stratum: Column, per: int, seed: int = 42) -> DataFrame:
     """The ids of `per` rows of each stratum, first in a seeded shuffle."""
     return places(df, id_col, seed, stratum).filter(F.col("place") < per).select("id")
+
+
+def split(df: DataFrame, id_col: str, seed: int = 11, held_out: float = 0.1) -> DataFrame:
+    """`df` with `held_out`: the last part of a seeded shuffle, floor(rows * share) rows exactly. Ids are unique."""
+    n = df.agg((F.count("*") - F.floor(F.count("*") * held_out + 1e-9)).alias("_n"))
+    p = places(df, id_col, seed).select(F.col("id").alias(id_col), F.col("place").alias("_p"))
+    return df.join(p, id_col).join(F.broadcast(n)).withColumn("held_out", F.col("_p") >= F.col("_n")).drop("_p", "_n")
+
+
+def shuffled(df: DataFrame, id_col: str, most: int, seed: int = 42) -> DataFrame:
+    """The first `most` rows of a seeded shuffle."""
+    return df.withColumn("_k", shuffled_key(F.col(id_col), seed)).orderBy("_k", id_col).limit(most).drop("_k")
+
+
+def right_and_wrong(df: DataFrame, id_col: str, right: Column, per: int = 5, seed: int = 123) -> DataFrame:
+    """(id, right): `per` rows that are right and `per` that are not, first in a seeded shuffle; rows of unknown outcome are left out."""
+    d = df.select(F.col(id_col).alias("id"), right.alias("right")).filter("right is not null")
+    rows = [d.filter(c).orderBy(shuffled_key(F.col("id"), seed), "id").limit(per) for c in ("right", "not right")]
+    return rows[0].unionByName(rows[1])
+
+
+def numbered(df: DataFrame, id_col: str, group: Column) -> DataFrame:
+    """(id, place): every row's place from 1 within its group, by id; exact, and no group passes through one task."""
+    return running_sum(df, id_col, group, []).select("id", (F.col("before") + 1).alias("place"))

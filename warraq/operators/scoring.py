@@ -14,9 +14,12 @@ def two_places(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
-def authority(df: DataFrame, sources: DataFrame, name: str = "source_name", default: float = 0.40) -> DataFrame:
-    """`df` with `authority`: the score of the source's last listing, else the default. The registry is a fixed small table."""
-    last = sources.groupBy(F.col("name").alias(name)).agg(F.max_by("reliability_score", F.coalesce("reliability_score", F.lit(0.0))).alias("authority"))
+def authority(df: DataFrame, sources: DataFrame, name: str = "source_name", default: float = 0.40, position: Column | None = None) -> DataFrame:
+    """`df` with `authority`: the score of the source's last listing, else the default. The registry is a fixed small table;
+    `position` tells the order of its listings, by default that of the table as it is read."""
+    place = position if position is not None else F.monotonically_increasing_id()
+    listed = sources.select(F.col("name").alias(name), "reliability_score", place.alias("_place"))
+    last = listed.groupBy(name).agg(F.max_by("reliability_score", "_place").alias("authority"))
     return df.join(last, name, "left").withColumn("authority", F.coalesce("authority", F.lit(default)))
 
 

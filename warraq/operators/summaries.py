@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warraq.functions import text as t
+from warraq.operators.prefix import running_sum
 
 #: Texts a prompt takes, characters of each, and characters a story needs to be summarized at all.
 TEXTS, CHARS, LEAST = 5, 2800, 150
@@ -32,10 +33,10 @@ def summary(texts: Column) -> Column:
 
 
 def cluster_texts(articles: DataFrame, most: int = TEXTS) -> DataFrame:
-    """(cluster_id, texts): the first `most` texts of each cluster by id, kept small before they move."""
+    """(cluster_id, texts): the first `most` texts of each cluster by id. Ids are ranked alone, texts join those that stay."""
     d = articles.filter("cluster_id is not null").select("cluster_id", "id", t.truthy(F.col("content_clean"), F.col("content"), F.col("title")).alias("text"))
-    ranked = d.withColumn("k", F.expr("row_number() over (partition by cluster_id order by id)")).filter(F.col("k") <= most)
-    g = ranked.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("s"))
+    first = running_sum(d, "id", F.col("cluster_id"), []).filter(F.col("before") < most).select("id")
+    g = d.join(first, "id", "left_semi").groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("s"))
     return g.select("cluster_id", F.transform("s", lambda x: x["text"]).alias("texts"))
 
 
@@ -58,3 +59,31 @@ def alternates(turns: Column) -> Column:
     """Whether, but for a system turn, user and assistant take turns, user first."""
     rest = F.filter(turns, lambda x: x["role"] != "system")
     return F.forall(F.transform(rest, lambda x, i: x["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda ok: ok)
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(t.strip(c), F.lit("")) == ""
+
+
+def summary_records(clusters: DataFrame, feedback: DataFrame, articles: DataFrame) -> DataFrame:
+    """(feedback_id, cluster_id, article, summary): approved summary feedback (id, cluster_id, user_rating, generated_summary,
+    corrected_summary, status) with its cluster's texts in id order, and the correction where the rating was bad and one is there.
+    Records with a blank side are left out."""
+    text = t.truthy(F.col("content_clean"), F.col("content"), F.col("title"))
+    a = articles.select("cluster_id", F.struct("id", text.alias("text")).alias("x")).groupBy("cluster_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    a = a.select("cluster_id", F.array_join(F.transform("x", lambda x: F.coalesce(x["text"], F.lit(""))), "\n\n").alias("article"))
+    f = feedback.filter("status = 'approved'").join(clusters.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+    r = f.join(a, "cluster_id").select(F.col("id").alias("feedback_id"), "cluster_id", "article", t.corrected(F.col("user_rating"), F.col("corrected_summary"), F.col("generated_summary")).alias("summary"))
+    return r.filter(~_blank(F.col("article")) & ~_blank(F.col("summary")))
+
+
+def summary_feedback_inserted(feedback: DataFrame, clusters: DataFrame, given: DataFrame) -> DataFrame:
+    """The table with the rows of `given` whose cluster exists, as pending."""
+    new = given.join(clusters.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi").withColumn("status", F.lit("pending"))
+    return feedback.unionByName(new.select(*[c for c in feedback.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def training_pairs(rows: DataFrame) -> DataFrame:
+    """(article, summary) of rows with text, summary and title: the title stands in for a missing summary; pairs with a blank side go."""
+    p = rows.select(t.strip(F.col("text")).alias("article"), t.strip(t.truthy(F.col("summary"), F.col("title"))).alias("summary"))
+    return p.filter(~_blank(F.col("article")) & ~_blank(F.col("summary")))

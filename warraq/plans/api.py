@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warraq import schemas
+from warraq import lexicons, schemas
 from warraq.functions import text as t
 
 
@@ -52,9 +52,19 @@ def search_local(articles: DataFrame, tokens: Sequence[str], cutoff: Column, lim
     return d.select(*schemas.CARD, "cluster_id").orderBy(F.desc("published_at"), F.desc("id")).limit(min(limit, 10))
 
 
-def related(articles: DataFrame, article_id: int | Column, page: int = 1, size: int = 20) -> DataFrame:
-    """Other articles of the article's cluster: verified first, then reliable, then new. Total counts all of them."""
-    mine = articles.filter(F.col("id") == article_id).select(F.col("cluster_id"), F.col("id").alias("_mine"))
+def search(articles: DataFrame, query: str, cutoff: Column, limit: int = 10, stop: Sequence[str] = tuple(lexicons.STOPWORDS)) -> DataFrame:
+    """`search_local` from what a reader types; at most 50 rows may be asked for, and 10 come."""
+    if not 1 <= limit <= 50:
+        raise ValueError("limit from 1 to 50")
+    has = lambda x: F.coalesce(F.contains("title", x), F.lit(False)) | F.coalesce(F.contains("content", x), F.lit(False))
+    d = articles.filter(F.col("published_at") >= cutoff).filter(F.forall(F.slice(t.query_tokens(query, stop), 1, 5), has))
+    return d.select(*schemas.CARD, "cluster_id").orderBy(F.desc("published_at"), F.desc("id")).limit(min(limit, 10))
+
+
+def related(articles: DataFrame, article_id: int | DataFrame, page: int = 1, size: int = 20) -> DataFrame:
+    """Other articles of the article's cluster: verified first, then reliable, then new. Total counts all of them. The id may be a table of one row."""
+    mine = articles.filter(F.col("id") == article_id) if isinstance(article_id, int) else articles.join(F.broadcast(article_id), "id", "left_semi")
+    mine = mine.select(F.col("cluster_id"), F.col("id").alias("_mine"))
     d = articles.join(F.broadcast(mine), "cluster_id").filter("id <> _mine")  # one row
     order = [F.desc_nulls_first(c) for c in ("verified", "reliability_score", "published_at")]
     rows = d.select(*schemas.CARD, "cluster_id").orderBy(*order, F.desc("id")).offset((page - 1) * size).limit(size)
@@ -66,11 +76,15 @@ def stats(articles: DataFrame) -> DataFrame:
 
 
 def by_source(articles: DataFrame) -> DataFrame:
-    return articles.groupBy("source_name").agg(F.count("*").alias("articles"))
+    """Articles per source, most first, then by name."""
+    return articles.groupBy("source_name").agg(F.count("*").alias("articles")).orderBy(F.desc("articles"), "source_name")
 
 
 def cluster_sources(articles: DataFrame) -> DataFrame:
-    return articles.filter("cluster_id is not null").groupBy("cluster_id", "source_name").agg(F.count("*").alias("articles"))
+    """Per cluster its sources, most articles first, then by name, and how many sources it has."""
+    g = articles.filter("cluster_id is not null").groupBy("cluster_id", "source_name").agg(F.count("*").alias("articles"))
+    total = g.groupBy("cluster_id").agg(F.count("*").alias("total"))
+    return g.join(total, "cluster_id").orderBy("cluster_id", F.desc("articles"), "source_name")
 
 
 def cluster_members(clusters: DataFrame, articles: DataFrame) -> DataFrame:
@@ -82,7 +96,8 @@ def cluster_members(clusters: DataFrame, articles: DataFrame) -> DataFrame:
 
 def pending_feedback(feedback: DataFrame, articles: DataFrame) -> DataFrame:
     a = articles.select(F.col("id").alias("article_id"), "title", "source_name")
-    return feedback.filter("lower(status) = 'pending'").join(a, "article_id").select("id", "article_id", "title", "source_name", "propaganda_prediction", "propaganda_correct", "corrected_propaganda")
+    """Pending feedback with its article, newest first."""
+    return feedback.filter("lower(status) = 'pending'").join(a, "article_id").orderBy(F.desc("id")).select("id", "article_id", "title", "source_name", "propaganda_prediction", "propaganda_correct", "corrected_propaganda")
 
 
 def feedback_details(feedback: DataFrame, articles: DataFrame) -> DataFrame:
@@ -94,7 +109,9 @@ def sources(registry: DataFrame) -> DataFrame:
     return registry.select("name", "name_ar", "reliability_score", "political_lean", "region", F.size("rss_urls").alias("rss_count"))
 
 
-def warm_up(articles: DataFrame, as_of: Column, hours: int = 48, rows: int = 100) -> DataFrame:
-    """What the deduplicator knows at its start: the newest rows of the last hours."""
-    d = articles.filter(F.col("scraped_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
+def warm_up(articles: DataFrame, as_of: Column | None = None, hours: int = 48, rows: int = 100) -> DataFrame:
+    """What the deduplicator knows at its start: the newest rows of the last hours before `as_of`, or else before the newest row."""
+    last = articles.agg(F.max("scraped_at").alias("_last"))
+    d = articles.join(F.broadcast(last)) if as_of is None else articles.withColumn("_last", as_of)  # one row
+    d = d.filter(F.col("scraped_at") >= F.col("_last") - F.expr(f"INTERVAL {hours} HOURS"))
     return d.orderBy(F.desc("id")).limit(rows).select("id", t.truthy(F.col("content"), F.col("title")).alias("text"))

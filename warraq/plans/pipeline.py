@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from warraq import lexicons
 from warraq.functions import text as t
 from warraq.operators import clustering, dedup, scoring
+from warraq.runtime import cut
 from warraq.sources import feeds
 
 
@@ -44,6 +45,12 @@ def stories(d: DataFrame, batch: str, seq: str) -> DataFrame:
     return clustering.incremental(rows, batch, seq)
 
 
+def ingest_stories(raw: DataFrame, known: DataFrame, sources: DataFrame, batch: Column, seq: str = "id") -> DataFrame:
+    """`ingest`, and the story of each article among those of its poll (`batch`): with columns batch and cluster."""
+    d = cut(ingest(raw, known, sources, seq).withColumn("batch", batch), "ingested")
+    return d.join(stories(d, "batch", seq).select(seq, "cluster"), seq)
+
+
 def ingest(raw: DataFrame, known: DataFrame, sources: DataFrame, seq: str = "id") -> DataFrame:
     """New urls, prepared, without duplicates of each other or of a known article (same columns as `raw`), scored."""
     d = prepared(dedup.new_urls(raw, known, seq))

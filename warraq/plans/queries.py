@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from warraq import lexicons
 from warraq.functions import text as t
-from warraq.operators import dedup, feedback, metrics, sampling, scoring, similarity
+from warraq.functions.html import main_text_column
+from warraq.operators import dedup, entities, feedback, metrics, sampling, scoring, similarity
 from warraq.plans import api, pipeline
-from warraq.runtime import table
+from warraq.runtime import cut, table
 from warraq.sources import feeds
 from warraq.streaming import ingest
 
@@ -45,6 +47,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _poll() -> Column:
+    """The hour of intake."""
+    return F.date_format("scraped_at", "yyyy-MM-dd HH")
+
+
 def micros(c: str) -> Column:
     return F.unix_micros(c).alias(c)
 
@@ -82,8 +89,8 @@ def feed_details_filtered(spark, d):
     ORDER BY verified DESC NULLS FIRST, reliability_score DESC NULLS FIRST, published_at DESC NULLS FIRST, id DESC LIMIT 20""")
 def related_articles(spark, d):
     a = table(spark, d, "articles")
-    first = a.filter("cluster_id is not null").agg(F.min("id")).collect()[0][0]
-    return api.related(a, first).select("id", "title", "source_name", "cluster_id", "total")
+    first = a.filter("cluster_id is not null").agg(F.min("id").alias("id"))
+    return api.related(a, a.join(F.broadcast(first), "id").select("id")).select("id", "title", "source_name", "cluster_id", "total")
 
 
 @query("""SELECT a.id, count(b.id) AS related FROM articles a LEFT JOIN articles b ON a.cluster_id = b.cluster_id AND a.id <> b.id GROUP BY a.id""")
@@ -134,15 +141,14 @@ def age_filter_keeping_undated(spark, d):
 
 @query("SELECT id, coalesce(nullif(content, ''), title) AS text FROM articles WHERE scraped_at >= (SELECT max(scraped_at) FROM articles) - INTERVAL 48 HOUR ORDER BY id DESC LIMIT 100")
 def warm_up_rows(spark, d):
-    a = table(spark, d, "articles")
-    last = a.agg(F.max("scraped_at")).collect()[0][0]
-    return api.warm_up(a, F.lit(last))
+    return api.warm_up(table(spark, d, "articles"))
 
 
 # ---- joins
 
 
-_LAST_AUTHORITY = "(SELECT name, max_by(reliability_score, coalesce(reliability_score, 0)) AS s FROM sources GROUP BY name)"
+# the table's rows in the order they are stored: the last listing of a name counts
+_LAST_AUTHORITY = "(SELECT name, reliability_score AS s FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC) AS r FROM (SELECT *, row_number() OVER () AS k FROM sources)) WHERE r = 1)"
 
 
 @query(f"SELECT a.id, coalesce(s.s, 0.40) AS authority FROM articles a LEFT JOIN {_LAST_AUTHORITY} s ON a.source_name = s.name")
@@ -202,9 +208,11 @@ def processed_stats(spark, d):
     return api.stats(table(spark, d, "articles"))
 
 
-@query("SELECT cluster_id, source_name, count(*) AS articles FROM articles WHERE cluster_id IS NOT NULL GROUP BY cluster_id, source_name")
+@query("""SELECT cluster_id, source_name, articles, count(*) OVER (PARTITION BY cluster_id) AS total, row_number() OVER (PARTITION BY cluster_id ORDER BY articles DESC, source_name NULLS FIRST) AS place
+    FROM (SELECT cluster_id, source_name, count(*) AS articles FROM articles WHERE cluster_id IS NOT NULL GROUP BY cluster_id, source_name)""")
 def cluster_sources(spark, d):
-    return api.cluster_sources(table(spark, d, "articles"))
+    g = api.cluster_sources(table(spark, d, "articles"))
+    return g.withColumn("place", F.expr("row_number() over (partition by cluster_id order by articles desc, source_name nulls first)").cast("bigint"))  # one row a source
 
 
 @query("SELECT propaganda_label, count(*) AS n, floor(10000.0 * count(*) / sum(count(*)) OVER () + 0.5) / 100 AS percent FROM articles GROUP BY propaganda_label")
@@ -214,9 +222,14 @@ def label_distribution_pct(spark, d):
     return g.join(F.broadcast(total)).select("propaganda_label", "n", (F.floor(F.lit(10000.0) * F.col("n") / F.col("all") + 0.5) / 100).alias("percent"))
 
 
-@query("SELECT coalesce(propaganda_label, 'Missing Label') AS label, count(*) AS n FROM approved_feedback_dataset GROUP BY 1")
+@query("""SELECT label, n, floor(10000.0 * n / sum(n) OVER () + 0.5) / 100 AS percent, row_number() OVER (ORDER BY n DESC, label) AS place
+    FROM (SELECT coalesce(propaganda_label, 'Missing Label') AS label, count(*) AS n FROM approved_feedback_dataset GROUP BY 1)""")
 def label_counter(spark, d):
-    return table(spark, d, "approved_feedback_dataset").groupBy(F.coalesce("propaganda_label", F.lit("Missing Label")).alias("label")).agg(F.count("*").alias("n"))
+    g = table(spark, d, "approved_feedback_dataset").groupBy(F.coalesce("propaganda_label", F.lit("Missing Label")).alias("label")).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("all"))
+    g = g.join(F.broadcast(total)).select("label", "n", (F.floor(F.lit(10000.0) * F.col("n") / F.col("all") + 0.5) / 100).alias("percent"))
+    # one row a label: a handful
+    return g.withColumn("place", F.expr("row_number() over (order by n desc, label)").cast("bigint")).orderBy("place")
 
 
 @query("SELECT statement_type, count(*) AS n, max(word_count) AS longest, count(*) FILTER (word_count > 200) AS over FROM articles GROUP BY statement_type")
@@ -279,7 +292,17 @@ def normalize_text(spark, d):
     return table(spark, d, "articles").select("id", t.normalize(F.col("title")).alias("title"))
 
 
-@query()
+_MARKUP = r"""regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g')"""
+for _e, _v in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+    _MARKUP = f"replace({_MARKUP}, '{_e}', {_v})"
+_PLAIN = f"CASE WHEN contains(content, '<') OR contains(content, '&') THEN {_MARKUP} ELSE coalesce(content, '') END"
+for _p in (f"https?://[^{W[1:]}+|www\\.[^{W[1:]}+", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[a-zA-Z]{2,}", r"@[\p{L}\p{N}_]+"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', ' ', 'g')"
+_PLAIN = f"""regexp_replace(translate({_PLAIN}, '{t.DIGITS_FROM}', '{t.DIGITS_TO}'), '[^\\p{{L}}\\p{{N}}_{W[1:-1]}"''«»“”]', ' ', 'g')"""
+
+
+@query(f"""SELECT id, {sql_strip(f"regexp_replace(array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 2 AND x = c[i - 1] AND x = c[i - 2], false)), ''), '{W}+', ' ', 'g')")} AS text
+    FROM (SELECT id, string_split(p, '') AS c FROM (SELECT id, {_PLAIN} AS p FROM articles))""")
 def clean_text(spark, d):
     return table(spark, d, "articles").select("id", t.clean(F.col("content")).alias("text"))
 
@@ -319,17 +342,30 @@ def fingerprint_exact_dedup(spark, d):
     return a.groupBy(t.fingerprint(F.col("content")).alias("fp")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-@query()
+_RUNS = f"""w AS (SELECT id, {sql_words('lower(content)')} AS w FROM articles WHERE content IS NOT NULL),
+    s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM w WHERE len(w) > 0),
+    f AS (SELECT id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS f FROM s GROUP BY id), c AS (SELECT f, min(id) AS rep, count(*) AS copies, any_value(n) AS n FROM f GROUP BY f)"""
+
+
+@query(f"""WITH {_RUNS}, p AS (SELECT x.id AS a, y.id AS b, count(*) AS inter FROM s x JOIN s y ON x.x = y.x AND x.id < y.id WHERE x.id IN (SELECT rep FROM c) AND y.id IN (SELECT rep FROM c) GROUP BY ALL)
+    SELECT a, b, inter::DOUBLE / (ca.n + cb.n - inter) AS overlap FROM p JOIN c ca ON a = ca.rep JOIN c cb ON b = cb.rep WHERE inter::DOUBLE / (ca.n + cb.n - inter) >= 0.82""")
 def shingle_jaccard_pairs(spark, d):
-    from warraq.runtime import cut
+    """Links between classes of articles whose contents have the same shingles, each named by its least id."""
+    rows = cut(dedup.shingle_rows(table(spark, d, "articles"), "id", F.col("content")), "shingles")
+    return dedup.set_links(rows)[1]
+
 
-    rows = cut(dedup.shingle_rows(table(spark, d, "approved_feedback_dataset"), "rec_id", F.col("text")), "shingles")
-    return dedup.overlapping(rows)
+@query(f"WITH {_RUNS} SELECT f.id, rep, copies FROM f JOIN c USING (f)")
+def shingle_classes(spark, d):
+    """Every article with a content: its class of equal shingles and the size of it."""
+    rows = cut(dedup.shingle_rows(table(spark, d, "articles"), "id", F.col("content")), "shingles")
+    members = dedup.set_links(rows)[0]
+    return members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep").select("id", "rep", "copies")
 
 
 @query()
 def greedy_near_dedup(spark, d):
-    return dedup.deduplicated(table(spark, d, "approved_feedback_dataset"), "rec_id", F.col("text"))
+    return dedup.deduplicated(table(spark, d, "articles"), "id", F.col("content"))
 
 
 @query(f"""SELECT id, CASE WHEN len(w) > 200 THEN array_to_string(w[1:100], ' ') || ' ... ' || array_to_string(w[-100:], ' ') ELSE content END AS text FROM (SELECT id, content, {sql_words('content')} AS w FROM articles WHERE content IS NOT NULL)""")
@@ -398,7 +434,18 @@ def verified_flags(spark, d):
     return table(spark, d, "articles").select("id", scoring.is_verified(*cols).alias("verified"))
 
 
-@query()
+_NORMAL = r"""translate(replace(regexp_replace(nfc_normalize(coalesce(content, '')), '[\x{064b}-\x{065f}\x{0610}-\x{061a}\x{06d6}-\x{06dc}\x{06df}-\x{06e8}\x{06ea}-\x{06ed}]', '', 'g'), chr(1600), ''), 'آأإٱٲٳٴٵ', 'اااااااا')"""
+_BARE = "translate(w, 'ةأإآ', 'هااا')"
+_HEADLESS = "CASE " + " ".join(f"WHEN starts_with({_BARE}, '{p}') AND length({_BARE}) > {len(p) + 2} THEN substring({_BARE}, {len(p) + 1})" for p in t.PREFIXES_B) + f" ELSE {_BARE} END"
+_TAILLESS = "CASE " + " ".join(f"WHEN ends_with(c, '{s}') AND length(c) > {len(s) + 1} THEN left(c, length(c) - {len(s)})" for s in t.SUFFIXES) + " ELSE c END"
+_PHRASES = sorted(lexicons.LOADED, key=lambda p: (-len(p.split()), p))
+_WEIGHT = "CASE m " + " ".join(f"WHEN ' {p.replace(' ', '  ')} ' THEN {lexicons.LOADED[p]}::DOUBLE" for p in _PHRASES) + " END"
+
+
+# each stem between blanks of its own, so that phrases met one after the other don't share one
+@query(rf"""WITH k AS (SELECT id, list_filter(list_transform(list_transform(regexp_extract_all({_NORMAL}, '[a-zA-Z0-9\x{{0600}}-\x{{06ff}}\x{{0750}}-\x{{077f}}\x{{fb50}}-\x{{fdff}}\x{{fe70}}-\x{{feff}}]+'), lambda w: {_HEADLESS}), lambda c: {_TAILLESS}), lambda x: x <> '') AS w FROM articles),
+    m AS (SELECT id, len(w) AS n, regexp_extract_all(array_to_string(list_transform(w, lambda x: ' ' || x || ' '), ''), '{'|'.join(' ' + p.replace(' ', '  ') + ' ' for p in _PHRASES)}') AS met FROM k)
+    SELECT id, CASE WHEN n = 0 THEN 0 ELSE coalesce(list_reduce(list_transform(met, lambda m: {_WEIGHT}), lambda a, b: a + b, 0::DOUBLE), 0) / n END AS ratio FROM m""")
 def loaded_ratio(spark, d):
     a = table(spark, d, "articles").select("id", t.tokenize(t.normalize(F.col("content"))).alias("w"))
     return a.select("id", t.loaded_ratio(F.col("w"), lexicons.LOADED).alias("ratio"))
@@ -412,8 +459,8 @@ def scored_articles(spark, d):
 
 @query()
 def ingest_pipeline(spark, d):
-    a = table(spark, d, "articles").select("id", "url", "title", "content", "source_name", "is_processed")
-    return pipeline.ingest(a.filter("not is_processed"), a.filter("is_processed"), table(spark, d, "sources")).select("id", "reliability_score", "propaganda_label", "verified")
+    a = table(spark, d, "articles").select("id", "url", "title", "content", "source_name", "is_processed", "persons", "organizations", "locations", "scraped_at")
+    return pipeline.ingest_stories(a.filter("not is_processed"), a.filter("is_processed"), table(spark, d, "sources"), _poll()).select("id", "reliability_score", "propaganda_label", "verified", "batch", "cluster")
 
 
 # ---- vectors
@@ -434,8 +481,8 @@ def nearest_centroid(spark, d):
 
 @query()
 def incremental_cluster(spark, d):
-    """Stories among the articles of each source and day."""
-    a = table(spark, d, "articles").filter("published_at is not null").select("id", "title", "title_clean", "content_clean", "persons", "organizations", "locations", F.concat_ws("|", "source_name", F.date_format("published_at", "yyyy-MM-dd")).alias("batch"))
+    """Stories among the articles of each poll, over all sources, dated or not."""
+    a = table(spark, d, "articles").select("id", "title", "title_clean", "content_clean", "persons", "organizations", "locations", _poll().alias("batch"))
     return pipeline.stories(a, "batch", "id")
 
 
@@ -484,7 +531,7 @@ def oversample_counts(spark, d):
     SELECT b AS block, rec_id AS id FROM p, n, range(24) t(b) WHERE k >= b * greatest(0, (n - 250) // 23) AND k < b * greatest(0, (n - 250) // 23) + 250""")
 def block_sample(spark, d):
     r = table(spark, d, "approved_feedback_dataset")
-    return sampling.blocks(r, "rec_id", r.count()).select(F.col("block").cast("bigint").alias("block"), "id")
+    return sampling.blocks(r, "rec_id").select(F.col("block").cast("bigint").alias("block"), "id")
 
 
 @query("SELECT rec_id AS id FROM (SELECT rec_id, row_number() OVER (PARTITION BY coalesce(propaganda_label, '') ORDER BY md5(rec_id::VARCHAR || ':42'), rec_id) AS k FROM approved_feedback_dataset) WHERE k <= 20")
@@ -545,3 +592,160 @@ def cluster_summaries(spark, d):
 @query("""SELECT f.id, f.status, CASE WHEN f.status = 'approved' AND f.training_job_id IS NULL THEN 999 ELSE f.training_job_id END AS training_job_id FROM article_feedback f""")
 def stamped_feedback(spark, d):
     return feedback.stamp_job(table(spark, d, "article_feedback"), 999).select("id", "status", F.col("training_job_id").cast("bigint").alias("training_job_id"))
+
+
+# ---- search, samples and metrics of the rest
+
+
+@query("""SELECT id, title, source_name FROM articles WHERE published_at >= TIMESTAMP '2025-01-01' AND (contains(coalesce(title, ''), 'القمح') OR contains(coalesce(content, ''), 'القمح'))
+    AND (contains(coalesce(title, ''), 'دمشق') OR contains(coalesce(content, ''), 'دمشق')) ORDER BY published_at DESC, id DESC LIMIT 10""")
+def typed_search(spark, d):
+    return api.search(table(spark, d, "articles"), "القمـــح في دِمشق؟", F.lit("2025-01-01").cast("timestamp"), 50).select("id", "title", "source_name")
+
+
+@query(f"SELECT rec_id FROM approved_feedback_dataset WHERE length({sql_strip('text')}) >= 10")
+def long_enough_rows(spark, d):
+    return table(spark, d, "approved_feedback_dataset").filter(t.long_enough(F.col("text"))).select("rec_id")
+
+
+@query("SELECT propaganda_label, count(*) AS n, avg(word_count) AS mean FROM articles GROUP BY 1")
+def class_means(spark, d):
+    return metrics.class_means(table(spark, d, "articles"), "propaganda_label", F.col("word_count"))
+
+
+@query(f"SELECT count(*) AS rows, max(n) AS longest, avg(n) AS mean, count(*) FILTER (n > 120) AS over FROM (SELECT len({sql_words('text')})::INT AS n FROM approved_feedback_dataset ORDER BY rec_id LIMIT 200)")
+def length_stats(spark, d):
+    return metrics.length_stats(table(spark, d, "approved_feedback_dataset"), "rec_id", t.word_count(F.col("text")), 120)
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY coalesce(cluster_id, -1) ORDER BY id) AS place FROM articles")
+def numbered_in_cluster(spark, d):
+    return sampling.numbered(table(spark, d, "articles"), "id", F.coalesce("cluster_id", F.lit(-1)))
+
+
+@query("SELECT rec_id FROM approved_feedback_dataset ORDER BY md5(rec_id::VARCHAR || ':42'), rec_id LIMIT 400")
+def shuffled_cap(spark, d):
+    return sampling.shuffled(table(spark, d, "approved_feedback_dataset"), "rec_id", 400).select("rec_id")
+
+
+@query("SELECT rec_id, row_number() OVER (ORDER BY md5(rec_id::VARCHAR || ':11'), rec_id) > count(*) OVER () - floor(count(*) OVER () * 0.1 + 1e-9) AS held_out FROM approved_feedback_dataset")
+def held_out_split(spark, d):
+    return sampling.split(table(spark, d, "approved_feedback_dataset"), "rec_id").select("rec_id", "held_out")
+
+
+_ONCE = "(SELECT DISTINCT id, propaganda_correct FROM article_feedback WHERE propaganda_correct IS NOT NULL)"
+
+
+@query(f"SELECT id, propaganda_correct AS right FROM (SELECT *, row_number() OVER (PARTITION BY propaganda_correct ORDER BY md5(id::VARCHAR || ':123'), id) AS k FROM {_ONCE}) WHERE k <= 5")
+def right_and_wrong_samples(spark, d):
+    return sampling.right_and_wrong(table(spark, d, "article_feedback").select("id", "propaganda_correct").distinct(), "id", F.col("propaganda_correct"))
+
+
+@query("SELECT status, count(*) AS rows, count(*) - count(propaganda_prediction) AS failed, (count(*) - count(propaganda_prediction))::DOUBLE / count(*) AS failure_rate FROM article_feedback GROUP BY status")
+def parse_failures(spark, d):
+    return metrics.parse_failures(table(spark, d, "article_feedback"), F.col("propaganda_prediction"), ["status"])
+
+
+@query("SELECT count(*) AS outputs, count(*) FILTER (propaganda_label IN ('propaganda', 'neutral')) AS compliant, count(*) FILTER (propaganda_label IN ('propaganda', 'neutral'))::DOUBLE / count(*) AS compliance FROM articles")
+def format_compliance(spark, d):
+    text = F.concat(F.lit("Verdict: "), F.coalesce("propaganda_label", F.lit("")), F.lit("\nTechnique: none"))
+    return metrics.compliance(table(spark, d, "articles"), t.parse_prediction(text, {})["format_matched"])
+
+
+@query("""WITH x AS (SELECT verified AS g, reliability_score > 0.6 AS p FROM articles WHERE verified IS NOT NULL AND reliability_score IS NOT NULL),
+    c AS (SELECT count(*) FILTER (NOT g AND NOT p) AS tn, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (g AND p) AS tp FROM x)
+    SELECT tn, fp, fn, tp, (tp + tn)::DOUBLE / (tn + fp + fn + tp) AS accuracy, (2 * tp)::DOUBLE / (2 * tp + fp + fn) AS f1 FROM c""")
+def calibrated_metrics(spark, d):
+    return metrics.calibrated(table(spark, d, "articles"), F.col("verified"), F.col("reliability_score"), 0.6)
+
+
+def _task_sql(x: str) -> str:
+    return f"count(*) FILTER ({_FIX.format(x)} = {x}_prediction)::DOUBLE / count({_FIX.format(x)})"
+
+
+@query(f"""SELECT *, (accuracy_0 + accuracy_1 + accuracy_2) / 3 AS mean_accuracy FROM (SELECT {_task_sql('propaganda')} AS accuracy_0, {_task_sql('statement')} AS accuracy_1, {_task_sql('attribution')} AS accuracy_2 FROM article_feedback)""")
+def task_accuracies(spark, d):
+    tasks = [(t.corrected(F.col(f"{x}_correct"), F.col(f"corrected_{x}"), F.col(f"{x}_prediction")), F.col(f"{x}_prediction")) for x in feedback.TASKS]
+    return metrics.mean_accuracy(table(spark, d, "article_feedback"), tasks)
+
+
+@query(f"WITH x AS (SELECT {_GOLD} AS g, propaganda_prediction AS p FROM article_feedback) SELECT count(*) AS rows, count(*) FILTER (g = p)::DOUBLE / count(*) AS exact, count(*) FILTER (g = p)::DOUBLE / count(*) AS \"primary\" FROM x WHERE g IS NOT NULL")
+def exact_and_primary(spark, d):
+    gold = t.corrected(F.col("propaganda_correct"), F.col("corrected_propaganda"), F.col("propaganda_prediction"))
+    return metrics.exact_and_primary(table(spark, d, "article_feedback"), gold, F.col("propaganda_prediction"))
+
+
+@query("""WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (q.l * e.l) AS sim FROM n q, n e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
+    SELECT query_id, vec_id, place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM s) WHERE place <= 10""")
+def cosine_topk(spark, d):
+    """The ten nearest rows of every row whose id is divisible by 100, against all rows."""
+    e = table(spark, d, "embeddings")
+    return similarity.nearest(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 10)
+
+
+@query("SELECT DISTINCT event_type, user_id, epoch_us(date_trunc('day', ts)) AS day FROM events")
+def stream_distinct(spark, d):
+    """Events read as a stream, to its end, without those that repeat user, type and day."""
+    from warraq.runtime import shared_dir
+
+    s = ingest.read_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
+    s = s.select("user_id", "event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("t")).withColumn("k", F.concat_ws("|", "user_id", "event_type", "t")).dropDuplicates(["k"])
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.run(s, ingest.idempotent_sink(f"{at}/out", "k"), f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("event_type", "user_id", F.unix_micros("t").alias("day"))
+
+
+# ---- rules on fixed inputs, against results worked out by hand
+
+
+def fixture(name: str, rows: list[tuple[str, str, str | None]], build: Callable[[DataFrame], DataFrame]) -> None:
+    """A query over given inputs (case, input, wanted output): case and output must agree with the wanted ones."""
+    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    sql = "SELECT * FROM (VALUES " + ", ".join(f"({quote(c)}, {quote(o)})" for c, _, o in rows) + ") AS v(\"case\", output)"
+
+    def run(spark, d):
+        return build(spark.createDataFrame([(c, i) for c, i, _ in rows], "case string, x string")).select("case", "output")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_P = "<p>" + "كلمة " * 20 + "</p>"
+fixture("html_main_content", [
+    ("article", f"<html><body><nav><p>{'menu ' * 50}</p></nav><article>{_P}{_P}<p>short</p></article></body></html>", " ".join(["كلمة " * 19 + "كلمة"] * 2)),
+    ("sidebar", f"<div class='sidebar-x'>{_P}</div><div class='article-body'>{_P}{_P}</div>", " ".join(["كلمة " * 19 + "كلمة"] * 2)),
+    ("nothing", "<div>tiny</div>", None),
+], lambda x: x.withColumn("output", main_text_column(F.col("x"))))
+
+fixture("cleaning_rules", [
+    ("marks", "مشرّف", "مشر ف"), ("long letters", "مـــهم", "مــهم"), ("digits", "٠١٢٣ ۰۸", "0123 0۸"), ("runs", "aaaa bbb", "aa bb"), ("link", "see https://a.b/c?d=1 now", "see now"), ("address", "mail x.y@z.org and @me", "mail and"),
+    ("quotes", "«قال» “نعم” 'لا'", "«قال» “نعم” 'لا'"), ("colon", "خبر: عاجل!", "خبر عاجل"), ("markup", "<b>one</b> &lt;two&gt; &amp; <script>x</script>three", "one two three"), ("references", "caf&eacute; &#1602;", "café ق"), ("nothing", "", ""),
+], lambda x: x.withColumn("output", t.clean(F.col("x"))))
+
+fixture("stemming_rules", [
+    ("article", "الكتاب", "كتاب"), ("and the", "والمدرسة", "مدرسه"), ("plural", "معلمون", "معلم"), ("too short", "الي", "ال"), ("hamza", "أحمد", "احمد"), ("for the", "للناس", "ناس"), ("latin", "the", "the"),
+], lambda x: x.withColumn("output", t.light_stem(F.col("x"))))
+
+fixture("source_label_rules", [
+    ("negated", "Non-Propagandistic", "neutral|reporting|supported_claim"), ("named", "propagandistic text", "propaganda|opinion|unsupported_claim"), ("underscore", "non_propaganda", "neutral|reporting|supported_claim"), ("yes", " YES ", "propaganda|opinion|unsupported_claim"),
+    ("one", "1", "propaganda|opinion|unsupported_claim"), ("zero", "0", "neutral|reporting|supported_claim"), ("unknown", "maybe propaganda", "neutral|reporting|supported_claim"), ("word", "propaganda", "propaganda|opinion|unsupported_claim"),
+], lambda x: x.withColumn("output", F.concat_ws("|", t.labels_of_source(F.col("x"))["propaganda"], t.labels_of_source(F.col("x"))["statement"], t.labels_of_source(F.col("x"))["attribution"])))
+
+fixture("verdict_rules", [
+    ("neutral", "Verdict: Neutral", "false"), ("technique", "verdict : Propaganda\nTechnique: doubt", "true"), ("no verdict", "Doubt\nneutral", "true"), ("only neutral", " neutral ", "false"), ("empty", "", "false"), ("none", "None", "false"),
+], lambda x: x.withColumn("output", t.says_propaganda(F.col("x")).cast("string")))
+
+fixture("gold_label_rules", [
+    ("none", "No Technique", "Neutral"), ("true", "TRUE", "Propaganda"), ("name", " Doubt ", "Doubt"), ("empty", "", "Neutral"), ("false", "False", "Neutral"),
+], lambda x: x.withColumn("output", t.gold_label(F.col("x"))))
+
+fixture("entity_rules", [
+    ("words", "زار خالد العلي بيروت", "خالد العلي"), ("inside a word", "الخالد العلية", ""), ("two", "خالد العلي مع سامي", "خالد العلي,سامي"),
+], lambda x: x.withColumn("output", F.array_join(t.routed(entities.listed({"PER": ["خالد", "خالد العلي", "سامي"], "LOC": ["بيروت"]})(F.col("x")), "PER"), ",")))
+
+_ITEM = "<rss><channel><item><title>خبر</title><link>http://a/1?x=1&amp;y=2</link><description>{}</description><pubDate>Mon, 06 Jan 2025 10:00:00 GMT</pubDate></item></channel></rss>"
+fixture("feed_entry_rules", [
+    ("escaped markup", _ITEM.format("&lt;p&gt;نص &amp;amp; نص&lt;/p&gt;"), "http://a/1?x=1&y=2|نص & نص|2025-01-06 10:00:00"), ("cdata", _ITEM.format("<![CDATA[<b>نص</b> قصير]]>"), "http://a/1?x=1&y=2|نص قصير|2025-01-06 10:00:00"),
+    ("twice escaped", _ITEM.format("نص طويل &amp;lt;ب&amp;gt; نص طويل جدا"), "http://a/1?x=1&y=2|نص طويل &lt;ب&gt; نص طويل جدا|2025-01-06 10:00:00"),
+], lambda x: feeds.articles_of(feeds.entries(x.select(F.col("case").alias("feed"), F.col("x").alias("xml")))).select(F.col("feed").alias("case"), F.concat_ws("|", "url", "content", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("output")))

@@ -25,7 +25,9 @@ def entries(feeds: DataFrame) -> DataFrame:
 
     def of(tag: str) -> Column:
         x = F.regexp_extract("item", rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
-        return F.nullif(t.strip(F.regexp_replace(F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"), "&amp;", "&")), F.lit(""))
+        quoted = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
+        # escaped markup becomes markup here, as an XML reader hands it over; what a CDATA section holds stays
+        return F.nullif(t.strip(F.when(x.rlike(quoted), F.regexp_replace(x, quoted, "$1")).otherwise(t.unescaped(x))), F.lit(""))
 
     href = F.nullif(F.regexp_extract("item", r'<link\b[^>]*href="([^"]*)"', 1), F.lit(""))
     return e.select("feed", "pos", F.coalesce(of("link"), href).alias("link"), F.coalesce(of("guid"), of("id")).alias("guid"), of("title").alias("title"), of("summary").alias("summary"), of("description").alias("description"), F.coalesce(of("pubDate"), of("published")).alias("published"), of("updated").alias("updated"), of("created").alias("created"), of("source").alias("source_title"))
