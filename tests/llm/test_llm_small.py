@@ -8,10 +8,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.llm import caps, leaks, lines, mixing, names, nearcopies, packing, personal, skeleton, tokens, truncation
+from warraq.llm import caps, leaks, lines, looks, mixing, names, nearcopies, packing, personal, skeleton, tokens, truncation
 from warraq.runtime import cut
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _table_of_looks(spark):
+    looks.ensure(spark)
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -41,7 +46,7 @@ def test_clean_title_looks_like_its_faulty_twin(spark):
     twins = [("أنباء إيران", "أنباء\u200b إيران"), ("سؤال", "سو\u0654ال"), ("café noir", "café\u00a0noir"), ("cote", "cot\u0435"), ("فى بيت", "في بيت")]
     d = spark.createDataFrame([(x,) for pair in twins for x in pair], "title string")
     got = sorted(r["example"] for r in skeleton.same_looking(d, "title").filter("n_forms = 2 and n_rows = 2").collect())
-    assert got == sorted(min(p) for p in twins[:4])
+    assert got == sorted(min(p) for p in twins)  # the published table has the two forms of ya as look-alikes
 
 
 def test_same_looking_contents(spark, tmp_path):

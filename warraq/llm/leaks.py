@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from warraq.llm import looks
 from warraq.llm.nearcopies import _longs, _sets_of, mix
 from warraq.runtime import cut
 
@@ -99,6 +100,7 @@ def split_links(records: DataFrame, overlap: float = 0.8, size: int = 5) -> tupl
     """Of `records` (id, side boolean, text): (members, links), both cuts. members: (id, side, rep); links: (a, b, cosine,
     overlap), a naming a class of equal vectors with side = true, b one with side = false."""
     least = cosine_for_overlap(overlap)
+    looks.ensure(records.sparkSession)
     records = records.select("id", "side", "text").filter("id is not null")
     vectors = cut(records.mapInArrow(_vector_batches(size), _VECTOR), "vectors")
     key = ["side", "f1", "f2", "n"]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from warraq.llm import looks
 from warraq.llm.skeleton import reading
 from warraq.runtime import BROADCAST_ROWS, cut
 
@@ -36,6 +37,11 @@ def source_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
 
 
+def not_blank(c: Column) -> Column:
+    """Whether a text holds more than white space of any kind; null does not."""
+    return F.coalesce(c.rlike(r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), F.lit(False))
+
+
 def line_ids(text: str) -> list[int]:
     """For each line of a text, the 64-bit identifier of its letters in reading form; 0 for a line without a letter."""
     return line_ids_of_reading(reading(text))
@@ -54,8 +60,9 @@ def _line_ids_udf(s: pd.Series) -> pd.Series:
 
 def line_table(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """(id, source, ids) of every document with a text that is not blank."""
+    looks.ensure(df.sparkSession)
     t = df.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
-    return t.filter(F.col("text").rlike(r"\S")).select("id", "source", _line_ids_udf("text").alias("ids"))
+    return t.filter(not_blank(F.col("text"))).select("id", "source", _line_ids_udf("text").alias("ids"))
 
 
 def common_lines(lines: DataFrame, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -179,6 +186,7 @@ def _strip_udf(text: pd.Series, lines: pd.Series) -> pd.Series:
 
 def without_lines(df: DataFrame, source_col: str, text_col: str, id_col: str, per_source: DataFrame) -> DataFrame:
     """`df` with `<text_col>_without_lines`: the text less its repeated lines; all else as it was."""
+    looks.ensure(df.sparkSession)
     d = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"))
     j = with_lines_of_source(d, per_source)
     return j.select("row.*", F.when(F.col("lines").isNull(), F.col(f"row.{text_col}")).otherwise(_strip_udf(F.col(f"row.{text_col}"), F.col("lines"))).alias(f"{text_col}_without_lines"))

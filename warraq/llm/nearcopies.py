@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from warraq.llm import looks
 from warraq.llm.lines import line_ids_of_reading
 from warraq.llm.skeleton import reading
 from warraq.runtime import bounded_broadcast, cut
@@ -231,6 +232,7 @@ _PAIR = "a bigint, b bigint"
 
 def sketched(docs: DataFrame, size: int = 5) -> DataFrame:
     """(id, f1, f2, n, s0..s3, bands) of `docs` (id, text[, lines]), as a cut; f1, f2 and n name the shingle set."""
+    looks.ensure(docs.sparkSession)
     return cut(docs.mapInArrow(_sketch_batches(size), _SKETCH), "sketches")
 
 

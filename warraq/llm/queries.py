@@ -63,7 +63,7 @@ def p4_links_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     _, blocks = p6_blocks_of(spark, sf_dir)
     per_source = cut(lines.lines_of_blocks(blocks), "lines-of-blocks")
     a = table(spark, sf_dir, "articles")
-    blank = ~F.coalesce(F.col("content").rlike(r"\S"), F.lit(False))
+    blank = ~lines.not_blank(F.col("content"))
     docs = a.select("id", lines.source_key(F.col("source_name")).alias("source"), F.when(blank, F.col("title")).otherwise(F.col("content")).alias("text"), blank.alias("titled"))
     docs = lines.with_lines_of_source(docs, per_source).select("id", "text", F.when(~F.col("titled"), F.col("lines")).alias("lines"))
     return nearcopies.links(docs, least=0.82, size=3)  # size and bound as TESTDATA.md states them

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warraq.llm.lines import line_ids_of_reading, source_key, with_lines_of_source
+from warraq.llm import looks
+from warraq.llm.lines import line_ids_of_reading, not_blank, source_key, with_lines_of_source
 from warraq.llm.skeleton import reading
 from warraq.runtime import bounded_broadcast, cut
 
@@ -242,7 +243,8 @@ def _posteriors(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def judged(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """(id, source, length, probability): every text that is not blank, with the probability that it stops early; a cut."""
-    docs = df.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\S"))
+    looks.ensure(df.sparkSession)
+    docs = df.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).filter(not_blank(F.col("text")))
     sites = cut(site_lines(docs), "site-lines")
     counts = cut(ending_counts(docs), "ending-counts")
     seen = cut(with_lines_of_source(docs, sites).select("id", "source", "text", F.coalesce("lines", F.array().cast("array<string>")).alias("lines")).mapInArrow(_judge_batches, _JUDGED), "endings")
