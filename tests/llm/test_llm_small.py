@@ -404,6 +404,21 @@ def test_personal_data(spark):
     assert personal.found(d.limit(0), given).count() == 0
 
 
+def test_disclosure(spark):
+    d = spark.createDataFrame([(0, 5), (1, 1), (50, 100), (2, 100), (100, 100)], "a int, n int")
+    got = [r[0] for r in d.select(personal.disclosure(F.col("a"), F.col("n"), F.lit(0.02))).collect()]
+    assert got[0] < 0 and got[1] > 0.8 and abs(got[3]) < 0.02 and got[2] < got[4] <= 1
+
+
+def test_shipped_words(spark):
+    from warraq.llm import ship
+
+    name = ship.words(spark.createDataFrame([("ا",), ("b",), ("b",)], "w string"))
+    got = spark.range(4).mapInPandas(lambda it: (x.assign(id=len(ship.shipped(name))) for x in it), "id long").collect()
+    assert {r["id"] for r in got} == {2}
+    assert ship.shipped(ship.words(spark.createDataFrame([], "w string"))) == frozenset()
+
+
 def test_a_slip_in_every_word_is_proposed(spark):
     slips = [
         ("organizations", "شركة نادر سالم", "شركة نارد سامل"), ("locations", "مدار نهار", "مدار هنار"), ("persons", "زكريا الطاصضاحي", "زكريا الطاصضانحي"),

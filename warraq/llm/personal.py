@@ -1,10 +1,15 @@
 """Personal data in free text: e-mail addresses, phone and identity numbers, street addresses, names of persons.
 
 Shapes alone do not tell an invoice number from a phone number, or a verb from a family name. As in information-theoretic
-sanitisation, counts of co-occurrence over the whole corpus estimate how strongly a term reveals a protected entity: how
-often the words before a number stand before numbers of unmistakable form, how often a word stands beside a given name
-compared with all its places. A candidate is protected data when its term's disclosure reaches the threshold; it is then
-replaced by a typed placeholder (generalised), the rest of the text stays.
+sanitisation, counts of co-occurrence over the whole corpus estimate how strongly a term reveals a protected entity. The
+disclosure of a term is the pointwise mutual information of term and entity as a share of the entity's own information,
+log(p(entity | term) / p(entity)) / log(1 / p(entity)): 0 for a term that says nothing, 1 for one that always means it. Terms are
+the words beside given names (entity: a name of a person) and the words before a number (entity: a phone or identity
+number; estimated from numbers of unmistakable form). A candidate is protected data when its term's disclosure reaches the
+threshold; it is then generalised to its type, as a placeholder, and the rest of the text stays.
+
+The corpus is read twice: once for the counts and for all that needs none (addresses of mail, numbers, street addresses),
+once for names, when the given names that titles reveal are known.
 
 Defined results: null and empty texts hold nothing; an item is reported once per text, type and string; overlapping finds
 give way to the longer, then the earlier; repeated rows give repeated finds; an empty table gives empty results.
@@ -22,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from warraq.llm import ship
 from warraq.runtime import bounded_broadcast, cut
 
-#: A word beside given names in this share of its places is a family name; a label before sure numbers of a type in this share is of that type.
-NAME_SHARE, LABEL_SHARE = 0.25, 0.04
-#: A word after titles so often, and in this share of its places, is a given name. At most GIVEN of them, the most frequent, are kept.
-GIVEN_COUNT, GIVEN_SHARE, GIVEN = 5, 0.02, 200_000
+#: Least disclosure of a family name, as a share of the information that a word is part of a name.
+NAME_DISCLOSURE = 0.65
+#: A label before sure numbers of a type in this share of its places is of that type. Shares are smoothed towards those of the
+#: shorter label, and of the label's words, as if these had been seen so many times more.
+LABEL_SHARE, SEEN_MORE = 0.04, 2.0
+#: A word after titles so often, and in this share of its places, is a given name.
+GIVEN_COUNT, GIVEN_SHARE = 5, 0.02
 
 # Words before a name that are no part of it.
 TITLES = {"السيد", "السيدة", "المهندس", "المهندسة", "الدكتور", "الدكتورة", "الأستاذ", "الأستاذة", "د.", "أ.", "م.", "mr.", "ms.", "mrs.", "dr.", "mme", "m.", "mlle", "prof.", "للسيد", "للدكتور", "للمهندس", "للسيدة", "والسيد", "والمهندس", "ود.", "والدكتور", "mr", "ms", "mrs", "dr"}
@@ -192,7 +201,14 @@ def _family_like(t: str, beside: str) -> bool:
     return (t[0].isupper() or beside[0].islower() and ord(t[0]) < 0x600) if latin else ord(t[0]) >= 0x600
 
 
-def _count_batches(listed: frozenset[str]):
+_FIND = ["id", "pii_type", "start", "stop", "item", "key1", "key2", "longer", "longer_item"]
+_FOUND = "id bigint, pii_type string, start int, stop int, item string, key1 string, key2 string, longer int, longer_item string"
+_COUNTED = "kind string, key string, n bigint, a bigint, b bigint"
+_FOUND_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+
+
+def _first_batches(listed: frozenset[str]):
+    """Counts of a batch, and the finds that need none; in one pass, told apart by `kind`."""
     starts = Starts(listed)
     titles = Titles()
 
@@ -203,30 +219,35 @@ def _count_batches(listed: frozenset[str]):
             titled: Counter = Counter()
             labels: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
             towns: Counter = Counter()
-            for t in b["text"].to_pylist():
+            finds: list[tuple] = []
+            for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if not t:
                     continue
                 tokens = _TOKEN.findall(t)
                 written.update(tokens)
-                for i in [i for i, x in enumerate(tokens) if titles[x]]:
-                    x = tokens[i]
-                    if i + 1 < len(tokens):
-                        y = tokens[i + 1]
-                        if y[0].isalpha() and y.casefold() not in TITLES and not is_initial(y) and not (is_initial(x) and i and tokens[i - 1][0].isupper() and tokens[i - 1][-1].isalpha()) and tokens[i + 2 : i + 3] not in ([","], ["،"]):
+                for k in [k for k, x in enumerate(tokens) if titles[x]]:
+                    x = tokens[k]
+                    if k + 1 < len(tokens):
+                        y = tokens[k + 1]
+                        if y[0].isalpha() and y.casefold() not in TITLES and not is_initial(y) and not (is_initial(x) and k and tokens[k - 1][0].isupper() and tokens[k - 1][-1].isalpha()) and tokens[k + 2 : k + 3] not in ([","], ["،"]):
                             titled[bare(y)] += 1
                 for _, _, f, loose, _ in name_spans(tokens, listed, starts):
                     if not loose:
                         beside[bare(tokens[f])] += 1
-                for _, _, s, keys in numbers(t):
+                if "@" in t or "at]" in t or "at)" in t:
+                    finds += [(i, "email", m.start(), m.end(), m[0], "", "", -1, "") for m in _MAIL.finditer(t)]
+                for x, e, s, keys in numbers(t):
                     kind = sure_type(s)
                     for k in dict.fromkeys(keys[:2]):
-                        x = labels[k]
-                        x[0] += 1
-                        x[1] += kind == "phone"
-                        x[2] += kind == "id_number"
-                for _, _, more, _, town in addresses(t):
-                    towns[f"{town}"] += 1
+                        c = labels[k]
+                        c[0] += 1
+                        c[1] += kind == "phone"
+                        c[2] += kind == "id_number"
+                    finds.append((i, kind or "number", x, e, s, keys[0], keys[1], -1, keys[2]))
+                for x, e, more, long, town in addresses(t):
+                    towns[town] += 1
                     towns[f"{town} {more}"] += 1
+                    finds.append((i, "address", x, e, t[x:e], town, f"{town} {more}" if more else "", long, t[x:long]))
             every: Counter = Counter()
             for w, n in written.items():
                 if w[0].isalpha():
@@ -234,44 +255,41 @@ def _count_batches(listed: frozenset[str]):
             rows = [("word", w, n, beside[w], titled[w]) for w, n in every.items() if w]
             rows += [("label", k, *v) for k, v in labels.items()]
             rows += [("town", k, n, 0, 0) for k, n in towns.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["kind", "key", "n", "a", "b"])
+            nothing = (None,) * 9
+            full = [(*r, *nothing) for r in rows] + [("find", None, None, None, None, *f) for f in finds]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *_FOUND_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*full, strict=True) if full else [[]] * 14, kinds, strict=True)], ["kind", "key", "n", "a", "b", *_FIND])
 
     return run
 
 
-def disclosure_counts(docs: DataFrame, listed: frozenset[str]) -> DataFrame:
-    """(kind, key, n, a, b) over all texts, a cut. word: its places, those beside given names, those after titles; label: the numbers after it, sure phones, sure identity numbers; town: addresses that end in it."""
-    c = docs.select("text").mapInArrow(_count_batches(listed), "kind string, key string, n bigint, a bigint, b bigint")
-    return cut(c.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")), "disclosure")
-
+def first_pass(docs: DataFrame, listed: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+    """(counts, finds), cuts. counts: (kind, key, n, a, b) over all texts: word: its places, those beside given names, those after
+    titles; label: the numbers after it, sure phones, sure identity numbers; town: addresses that end in it. finds: all but names."""
+    both = cut(docs.select("id", "text").mapInArrow(_first_batches(listed), f"{_COUNTED}, {_FOUND}"), "first-pass")
+    c = both.filter("kind <> 'find'").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return cut(c, "disclosure"), both.filter("kind = 'find'").select(*_FIND)
 
-def given_set(counts: DataFrame, listed: frozenset[str]) -> frozenset[str]:
-    """The given names: those listed and those learnt from titles; at most GIVEN learnt ones (the bound of this model)."""
-    learnt = counts.filter((F.col("kind") == "word") & (F.col("b") >= GIVEN_COUNT) & (F.col("b") >= F.col("n") * GIVEN_SHARE) & (F.col("a") < F.col("n") * 0.55) & (F.length("key") > 2))
-    return listed | {r["key"] for r in learnt.orderBy(F.desc("b"), "key").limit(GIVEN).select("key").collect()}
 
-
-_FOUND = "id bigint, pii_type string, start int, stop int, item string, key1 string, key2 string, longer int, longer_item string"
+def given_names(counts: DataFrame) -> DataFrame:
+    """(key): the words that titles reveal as given names."""
+    return counts.filter((F.col("kind") == "word") & (F.col("b") >= GIVEN_COUNT) & (F.col("b") >= F.col("n") * GIVEN_SHARE) & (F.col("a") < F.col("n") * 0.55) & (F.length("key") > 2)).select("key")
 
 
-def _find_batches(given: frozenset[str]):
-    starts = Starts(given)
-
+def _name_batches(name: str, listed: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = listed | ship.shipped(name)
+        starts = Starts(given)
         for b in batches:
             rows: list[tuple] = []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if not t:
                     continue
-                if "@" in t or "at]" in t or "at)" in t:
-                    rows += [(i, "email", m.start(), m.end(), m[0], "", "", -1, "") for m in _MAIL.finditer(t)]
-                rows += [(i, sure_type(s) or "number", a, e, s, k[0], k[1], -1, k[2]) for a, e, s, k in numbers(t)]
-                rows += [(i, "address", a, e, t[a:e], town, f"{town} {more}" if more else "", long, t[a:long]) for a, e, more, long, town in addresses(t)]
-                tokens, places = [], []
                 found = list(name_spans(_TOKEN.findall(t), given, starts))
-                if found:
-                    places = [m.span() for m in _TOKEN.finditer(t)]
-                    tokens = [t[x:y] for x, y in places]
+                if not found:
+                    continue
+                places = [m.span() for m in _TOKEN.finditer(t)]
+                tokens = [t[x:y] for x, y in places]
                 for first, last, family, loose, skip in found:
                     if first and bare(tokens[first - 1]) in BODIES_BEFORE or last + 1 < len(tokens) and bare(tokens[last + 1]) in BODIES_AFTER:
                         continue
@@ -281,41 +299,47 @@ def _find_batches(given: frozenset[str]):
                     if t[e - 1] == ".":
                         e -= 1
                     rows.append((i, "name loose" if loose else "name", a, e, t[a:e], bare(tokens[family]), "", -1, ""))
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], ["id", "pii_type", "start", "stop", "item", "key1", "key2", "longer", "longer_item"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, _FOUND_TYPES, strict=True)], _FIND)
 
     return run
 
 
+def disclosure(with_entity: Column, places: Column, share: Column) -> Column:
+    """How much of the information that an entity is here (it is in `share` of all places) a term gives away that stands with it
+    in `with_entity` of its `places`. The term's own share is smoothed by one place of the common kind."""
+    p = (with_entity + share) / (places + 1)
+    return 1 - F.log(p) / F.log(share)
+
+
 def found(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Of `docs` (id, text) and known given names (given_name): (id, pii_type, start, stop, item), overlaps settled."""
     listed = frozenset(x for r in names.select("given_name").filter("given_name is not null").collect() for x in [r[0].casefold()] if " " not in x)  # a fixed list
-    counts = disclosure_counts(docs, listed)
-    given = given_set(counts, listed)
-    candidates = cut(docs.select("id", "text").mapInArrow(_find_batches(given), _FOUND), "candidates")
+    counts, finds = first_pass(docs, listed)
+    named = cut(docs.select("id", "text").mapInArrow(_name_batches(ship.words(given_names(counts)), listed), _FOUND), "names")
     out = ["id", "pii_type", "start", "stop", "item"]
-    sure = candidates.filter(F.col("pii_type").isin("email", "phone", "id_number")).select(*out)
-    # numbers: the two words before, where they are known from three numbers or more, else the one word
+    sure = finds.filter(F.col("pii_type").isin("email", "phone", "id_number")).select(*out)
+    # numbers: by the two words before, their shares smoothed towards those of the one word, these towards a listed word's
     labels = counts.filter("kind = 'label'").select(F.col("key"), "n", "a", "b")
     one, two = labels.toDF("key2", "n1", "a1", "b1"), labels.toDF("key1", "n2", "a2", "b2")
-    num = candidates.filter("pii_type = 'number'").join(two, "key1", "left").join(one, "key2", "left")
-    known = (F.col("n2") >= 3) & (F.col("a2") + F.col("b2") > 0) | (F.col("n2") >= 20)
-    n, a, b = (F.when(known, F.col(x + "2")).otherwise(F.col(x + "1")) for x in "nab")
+    num = finds.filter("pii_type = 'number'").join(two, "key1", "left").join(one, "key2", "left")
     # a listed label word counts like sure numbers behind a tenth of its places
-    a = a + F.when(F.col("longer_item") == "phone", n * 0.1).otherwise(0)
-    b = b + F.when(F.col("longer_item") == "id_number", n * 0.1).otherwise(0)
-    kind = F.when((F.greatest(a, b) >= n * LABEL_SHARE) & (a > b), "phone").when((F.greatest(a, b) >= n * LABEL_SHARE) & (b > a), "id_number")
+    listed_word = lambda x: F.when(F.col("longer_item") == x, 0.1).otherwise(0.0)
+    smooth = lambda hits, n, towards: (F.coalesce(hits, F.lit(0)) + SEEN_MORE * towards) / (F.coalesce(n, F.lit(0)) + SEEN_MORE)
+    phone, ident = (smooth(F.col(f"{c}2"), F.col("n2"), smooth(F.col(f"{c}1"), F.col("n1"), listed_word(x))) + listed_word(x) for c, x in (("a", "phone"), ("b", "id_number")))
+    kind = F.when((F.greatest(phone, ident) >= LABEL_SHARE) & (phone > ident), "phone").when((F.greatest(phone, ident) >= LABEL_SHARE) & (ident > phone), "id_number")
     num = num.withColumn("pii_type", kind).filter("pii_type is not null").select(*out)
     # towns: the second word belongs to the town if the first is mostly followed by it
     towns = counts.filter("kind = 'town'").select("key", "n")
-    addr = candidates.filter("pii_type = 'address'").join(towns.toDF("key1", "n1"), "key1", "left").join(towns.toDF("key2", "n2"), "key2", "left")
+    addr = finds.filter("pii_type = 'address'").join(towns.toDF("key1", "n1"), "key1", "left").join(towns.toDF("key2", "n2"), "key2", "left")
     both = (F.col("key2") != "") & (F.col("n2") >= 0.5 * F.col("n1"))
     addr = addr.select("id", "pii_type", "start", F.when(both | (F.col("key2") == ""), F.col("longer")).otherwise(F.col("stop")).alias("stop"), F.when(both | (F.col("key2") == ""), F.col("longer_item")).otherwise(F.col("item")).alias("item"))
-    # names: the family name stands beside given names in a good share of its places
+    # names: the word beside the given name discloses a person
     words = counts.filter("kind = 'word'").select(F.col("key").alias("key1"), "n")
-    beside = candidates.filter("pii_type = 'name'").groupBy("key1").agg(F.count("*").alias("a"))
-    name = candidates.filter(F.col("pii_type").startswith("name")).join(beside.join(words, "key1"), "key1").filter((F.col("a") >= F.col("n") * NAME_SHARE) | (F.col("n") <= 2) & (F.col("pii_type") == "name"))
-    name = name.select("id", F.lit("name").alias("pii_type"), "start", "stop", "item")
+    beside = named.filter("pii_type = 'name'").groupBy("key1").agg(F.count("*").alias("a"))
+    total = words.agg(F.sum("n").alias("_all")).join(F.broadcast(beside.agg(F.sum("a").alias("_named"))))  # one row
+    share = F.least(F.lit(0.5), F.greatest(F.col("_named"), F.lit(1)) / F.col("_all"))
+    telling = beside.join(words, "key1").join(F.broadcast(total)).filter(disclosure(F.col("a"), F.col("n"), share) >= NAME_DISCLOSURE).select("key1")
+    name = named.join(telling, "key1", "left_semi").select("id", F.lit("name").alias("pii_type"), "start", "stop", "item")
     every = sure.unionByName(num).unionByName(addr).unionByName(name)
     per = every.groupBy("id").agg(F.collect_list(F.struct("pii_type", "start", "stop", "item")).alias("f"))  # as long as one text has finds
     return per.mapInArrow(_settle_batches, "id bigint, pii_type string, start int, stop int, item string")
