@@ -172,6 +172,25 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert leaks.overlapping_pairs(*leaks.split_links(d.limit(0), 0.82, 3)).count() == 0
 
 
+def test_leaks_weighted_by_rarity_against_brute_force(spark, monkeypatch):
+    texts = _texts(6, 120)
+    side = [i % 3 > 0 for i in range(len(texts))]
+    d = spark.createDataFrame([(i, s, x) for i, (s, x) in enumerate(zip(side, texts, strict=True))], "id long, side boolean, text string")
+    sets = []
+    for x in texts:
+        w = nearcopies.words(x or "")
+        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)))
+    classes = {(s, k) for s, k in zip(side, sets, strict=True) if k}
+    df = Counter(t for _, k in classes for t in k)
+    idf = {t: np.log1p(len(classes) / n) for t, n in df.items()}
+    norm = lambda k: sum(idf[t] ** 2 for t in k) ** 0.5
+    cos = {(i, j): sum(idf[t] ** 2 for t in sets[i] & sets[j]) / (norm(sets[i]) * norm(sets[j])) for i, j in combinations(range(len(texts)), 2) if sets[i] and sets[j] and side[i] != side[j]}
+    for least, piece in ((0.7, 5000), (0.5, 2)):
+        monkeypatch.setattr(leaks, "PIECE", piece)
+        got = {tuple(sorted(r[:2])) for r in leaks.overlapping_pairs(*leaks.split_links(d, size=3, cosine=least)).collect()}
+        assert got == {p for p, c in cos.items() if c >= least} and got
+
+
 def test_prefix_bound():
     w = np.full(10, 10**-0.5)
     assert leaks.prefix_length(w, w, 0.9) == 2 and leaks.prefix_length(w, np.zeros(10), 0.9) == 0
