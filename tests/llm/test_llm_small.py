@@ -292,6 +292,34 @@ def test_packing(spark):
     assert packing.packed(cut(d.limit(0)), 100).count() == 0
 
 
+def test_long_texts_of_one_id_fill_containers_of_their_own(spark):
+    d = cut(spark.createDataFrame([(1, 250), (1, 250), (2, 100)], "id long, tokens long"))
+    load = Counter()
+    for r in packing.packed(d, 100).collect():
+        load[r["container"]] += r["tokens"]
+    assert sorted(load.values()) == [100] * 6
+
+
+def test_fillings_are_those_of_best_fit_text_by_text():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        k = int(rng.integers(5, 60))
+        hist = np.zeros(k + 1, dtype=np.int64)
+        for x in rng.integers(1, k + 1, size=rng.integers(1, 12)):
+            hist[x] = rng.integers(1, 40)
+        sizes = np.repeat(np.arange(k + 1), hist).tolist()
+        by_text: dict[int, list[int]] = {}
+        for s, c in zip(sizes, packing.best_fit(sizes, k), strict=True):
+            by_text.setdefault(c, []).append(s)
+        got = packing.fillings(hist)
+        used = np.zeros(k + 1, dtype=np.int64)
+        for p, n in got.items():
+            assert sum(b * m for b, m in p) <= k
+            for b, m in p:
+                used[b] += m * n
+        assert (used == hist).all() and sum(got.values()) == len(by_text)
+
+
 def test_nnls():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 3, size=(8, 5)).astype(float)

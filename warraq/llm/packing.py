@@ -1,14 +1,14 @@
 """Packing texts into containers of fixed capacity by length patterns.
 
 Lengths are put in a histogram (bounded by the capacity, whatever the number of texts). Patterns, sets of lengths that
-fill a container, are enumerated from it: pairs and triples that fill exactly, and the fillings met when a scaled-down
-copy of the histogram is packed. Non-negative least squares fits the patterns' repeat counts to the histogram; they are
-rounded down, every text takes its place by its exact rank within its length, and the residual texts are packed by
-best fit in blocks.
+fill a container, are enumerated from it: pairs and triples that fill exactly, and the fillings that best fit leads to when
+the whole histogram is packed, equal lengths at a time. Non-negative least squares fits the patterns' repeat counts to the
+histogram; they are rounded, every text takes its place by its exact rank within its length, and the residual texts are
+packed by best fit in blocks. Patterns only propose: whatever they leave out is packed as residual.
 
 Defined results: null and empty texts have no tokens and go to no container; a text longer than the capacity is split into
-full containers and one remainder, others never; repeated ids are packed once per row, rows without an id are left out; an
-empty table packs nothing.
+full containers and one remainder, others never; repeated ids are packed once per row, each row's containers being its own
+where they are full; rows without an id are left out; an empty table packs nothing.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from warraq.operators.prefix import running_sum
 from warraq.runtime import cut
 
-#: Steps the capacity is divided into, texts of the scaled-down histogram, enumerated patterns, residual texts a block.
-STEPS, SAMPLE, PATTERNS, RESIDUAL = 1024, 20_000, 3000, 20_000
+#: Pairs and triples that become patterns (those that can be repeated most), residual texts a block.
+PATTERNS, RESIDUAL = 3000, 20_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -48,35 +48,87 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def patterns_of(hist: np.ndarray) -> list[tuple[tuple[int, int], ...]]:
-    """Patterns ((length, how many), ...) for a histogram over lengths 0..K (index K: the capacity)."""
+Pattern = tuple[tuple[int, int], ...]
+
+
+def fillings(hist: np.ndarray) -> Counter:
+    """What best fit, longest first, fills containers with: pattern ((length, how many), ...) -> containers. hist over lengths 0..K.
+
+    Equal containers are one entry with a count, and a length's texts are placed together: an emptiest fitting container takes
+    as many of them as go in, as it stays the best fit. The work grows with the number of lengths, not of texts.
+    """
+    k = len(hist) - 1
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[Pattern, int]]] = {}
+    out: Counter = Counter()
+
+    def put(room: int, p: Pattern, n: int) -> None:
+        if not n:
+            return
+        if room == 0:
+            out[tuple(sorted(p))] += n
+            return
+        if room not in open_:
+            insort(rooms, room)
+            open_[room] = []
+        open_[room].append((p, n))
+
+    for size in np.flatnonzero(hist)[::-1].tolist():
+        left = int(hist[size])
+        while left and size:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                room, p, n = k, (), left
+            else:
+                room = rooms[at]
+                p, n = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            each = room // size
+            times = min(n, left // each)
+            put(room - each * size, (*p, (size, each)), times)
+            n, left = n - times, left - times * each
+            if left and n:  # fewer than one more container takes
+                put(room - left * size, (*p, (size, left)), 1)
+                n, left = n - 1, 0
+            if p:
+                put(room, p, n)
+    for groups in open_.values():
+        for p, n in groups:
+            out[tuple(sorted(p))] += n
+    return out
+
+
+def patterns_of(hist: np.ndarray) -> list[Pattern]:
+    """Patterns for a histogram over lengths 0..K (index K: the capacity)."""
     k = len(hist) - 1
     have = np.flatnonzero(hist)
-    found: Counter = Counter()
-    # pairs and triples that fill exactly
-    triples = []
+    have = have[have > 0]
+    # pairs and triples that fill exactly: how often they can be repeated, and their lengths
+    best: list[np.ndarray] = []
     for i in have[::-1]:
-        if 0 < k - i and hist[k - i] and k - i <= i:
-            triples.append((min(hist[i], hist[k - i]), (int(i), int(k - i))))
+        if 0 < k - i <= i and hist[k - i]:
+            best.append(np.array([[min(hist[i], hist[k - i]), i, k - i, 0]]))
         rest = have[(have <= i) & (have < k - i)]
         third = k - i - rest
         ok = (third > 0) & (third <= rest)
         ok[ok] = hist[third[ok]] > 0
-        triples += [(min(hist[i], hist[j], hist[t]), (int(i), int(j), int(t))) for j, t in zip(rest[ok], third[ok], strict=True)]
-    for _, p in sorted(triples, reverse=True)[:PATTERNS]:
-        found[tuple(sorted(Counter(p).items()))] += 1
-    # what packing a scaled-down copy of the histogram uses
-    total = int(hist.sum())
-    scaled = hist if total <= SAMPLE else np.floor(hist * (SAMPLE / total) + np.random.default_rng(0).random(len(hist))).astype(np.int64)
-    sizes = np.repeat(np.arange(len(hist)), scaled).tolist()
-    fillings: dict[int, list[int]] = {}
-    for s, c in zip(sizes, best_fit(sizes, k), strict=True):
-        fillings.setdefault(c, []).append(s)
-    for f in fillings.values():
-        found[tuple(sorted(Counter(f).items()))] += 1
+        if ok.any():
+            j, t = rest[ok], third[ok]
+            best.append(np.stack([np.minimum(np.minimum(hist[i], hist[j]), hist[t]), np.full(len(j), i), j, t], axis=1))
+        if len(best) > 200:  # keep only what can still be among the first
+            best = [_first(np.concatenate(best))]
+    found: Counter = Counter()
+    for r in _first(np.concatenate(best)).tolist() if best else []:
+        found[tuple(sorted(Counter(x for x in r[1:] if x).items()))] += 1
+    found.update(fillings(hist))
     return list(found)
 
 
+def _first(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort(-rows.T[::-1])][:PATTERNS]
+
+
 def nnls(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, n: int, rounds: int = 400) -> np.ndarray:
     """x >= 0 that minimises |A x - target|, A given by its entries: projected gradient with momentum, columns scaled to length 1."""
     length = np.sqrt(np.bincount(cols, values**2, minlength=n))
@@ -136,19 +188,17 @@ def _assign(starts: np.ndarray, sizes: np.ndarray, pattern: np.ndarray, many: np
 
 def packed(sizes: DataFrame, capacity: int) -> DataFrame:
     """Of `sizes` (id, tokens), a cut: (id, piece, start, tokens, container). Containers are named, the names say how they came about."""
-    width = max(1, capacity // STEPS)
-    steps = capacity // width
     n = F.col("tokens")
     cuts = F.when(n <= capacity, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / capacity).cast("bigint") - 1))
-    pieces = sizes.select("id", "tokens").filter((n > 0) & F.col("id").isNotNull()).withColumn("piece", F.explode(cuts)).select("id", "piece", (F.col("piece") * capacity).alias("start"), F.least(n - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("tokens"))
-    full = pieces.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "id", "piece"))
-    # each row's short piece under a number of its own, as ids may repeat; a cut, so the numbers stay
-    rest = cut(pieces.filter(F.col("tokens") < capacity).withColumn("item", F.monotonically_increasing_id()).withColumnRenamed("id", "row"), "pieces")
-    step = F.ceil(F.col("tokens") / width).cast("int")
-    counts = rest.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()  # at most STEPS rows, whatever the table's size
-    hist = np.zeros(steps + 1, dtype=np.int64)
+    # each row under a number of its own, as ids may repeat; a cut, so the numbers stay
+    rows = sizes.select("id", "tokens").filter((n > 0) & F.col("id").isNotNull()).withColumn("item", F.monotonically_increasing_id())
+    pieces = cut(rows.withColumn("piece", F.explode(cuts)).select("item", F.col("id").alias("row"), "piece", (F.col("piece") * capacity).alias("start"), F.least(n - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("tokens")), "pieces")
+    full = pieces.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "item", "piece")).withColumnRenamed("row", "id")
+    rest = pieces.filter(F.col("tokens") < capacity)
+    counts = rest.groupBy("tokens").agg(F.count("*").alias("n")).collect()  # fewer rows than the capacity, whatever the table's size
+    hist = np.zeros(capacity + 1, dtype=np.int64)
     for r in counts:
-        hist[min(r["step"], steps)] += r["n"]
+        hist[r["tokens"]] += r["n"]
     plan = fit_patterns(hist)
     used: dict[int, int] = {}
     entries = []
@@ -158,7 +208,7 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
             used[b] = used.get(b, 0) + m * times
     entries.sort()
     arrays = [np.array([e[i] for e in entries], dtype=np.int64) for i in range(4)]
-    ranked = running_sum(rest, "item", F.least(step, F.lit(steps)), [], keep=["tokens", "row", "piece", "start"])
+    ranked = running_sum(rest, "item", F.col("tokens"), [], keep=["tokens", "row", "piece", "start"])
     ranked = ranked.select(F.col("id").alias("item"), F.col("group").cast("int").alias("step"), F.col("before").alias("rank"), "tokens", "row", "piece", "start")
     placed = cut(ranked.mapInArrow(_assign(*arrays), "item bigint, row bigint, piece bigint, start bigint, tokens bigint, pattern bigint, number bigint"), "placed")
     by_pattern = placed.filter("pattern >= 0").withColumn("container", F.concat_ws("-", F.lit("pattern"), "pattern", "number"))
