@@ -276,9 +276,9 @@ def given_names(counts: DataFrame) -> DataFrame:
     return counts.filter((F.col("kind") == "word") & (F.col("b") >= GIVEN_COUNT) & (F.col("b") >= F.col("n") * GIVEN_SHARE) & (F.col("a") < F.col("n") * 0.55) & (F.length("key") > 2)).select("key")
 
 
-def _name_batches(name: str, listed: frozenset[str]):
+def _name_batches(names: tuple[str, ...], listed: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = listed | ship.shipped(name)
+        given = listed | ship.shipped(names)
         starts = Starts(given)
         for b in batches:
             rows: list[tuple] = []

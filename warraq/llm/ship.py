@@ -6,7 +6,6 @@ reads them once. No number of words is cut off; a set must fit into a worker's m
 
 from __future__ import annotations
 
-import os
 import uuid
 from functools import cache
 
@@ -15,24 +14,27 @@ from pyspark.sql import DataFrame
 
 from warraq.runtime import shared_dir
 
+#: Files a set is shipped in, at most.
+FILES = 8
 
-def words(df: DataFrame) -> str:
-    """Ship the distinct values of the one string column of `df`; the name under which `shipped` finds them."""
+
+def words(df: DataFrame) -> tuple[str, ...]:
+    """Ship the distinct values of the one string column of `df`; the names of the files in which `shipped` finds them."""
     spark = df.sparkSession
-    name = f"warraq-words-{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.distinct().coalesce(8).write.text(path)
-    spark.sparkContext.addFile(path, recursive=True)
-    return name
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    df.distinct().coalesce(FILES).write.text(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.getPath().getName().startswith("part-")]
+    for f in files:
+        spark.sparkContext.addFile(f.toString())
+    return tuple(f.getName() for f in files)
 
 
 @cache
-def shipped(name: str) -> frozenset[str]:
-    """The words shipped under a name; on a worker."""
-    at = SparkFiles.get(name)
+def shipped(names: tuple[str, ...]) -> frozenset[str]:
+    """The words of such files; on a worker."""
     out: set[str] = set()
-    for f in os.listdir(at):
-        if f.startswith("part-"):
-            with open(os.path.join(at, f), encoding="utf-8") as lines:
-                out.update(x.rstrip("\n") for x in lines)
+    for n in names:
+        with open(SparkFiles.get(n), encoding="utf-8") as lines:
+            out.update(x.rstrip("\n") for x in lines)
     return frozenset(out)
