@@ -266,6 +266,21 @@ def test_truncated_articles(spark):
     assert truncation.judged(d.limit(0), "id", "source_name", "content").count() == 0
 
 
+def test_share_of_cut_texts_is_found():
+    rng = np.random.default_rng(2)
+    cut_ = rng.random(5000) < 0.3
+    e = np.where(cut_, rng.normal(2, 1.5, 5000), rng.normal(-2, 1.5, 5000))  # of two such normals, the log ratio at x is 4 x / 2.25
+    assert abs(truncation.fit_share(4 * e / 2.25, np.ones(5000)) - 0.3) < 0.03
+    assert truncation.fit_share(np.zeros(0), np.zeros(0), 0.4) == 0.4
+
+
+def test_long_site_lines_are_seen(spark):
+    line = "this notice is far longer than one hundred and ten letters " * 4
+    d = spark.createDataFrame([(i, "s", f"The office number {'abcdefghij'[i % 10]}{'klmno'[i // 10]} will open today.\n{line}") for i in range(50)], "id long, source string, text string")
+    own, files = truncation.site_lines(d)
+    assert [r["lines"] for r in own.collect()] == [[truncation.line_key(line)]]
+
+
 # ---- tokens, packing, mixing
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from warraq.llm import looks
 from warraq.llm.skeleton import reading
-from warraq.runtime import BROADCAST_ROWS, cut
+from warraq.runtime import cut, is_small
 
 MIN_SHARE, MIN_DOCS = 0.05, 5
 #: Copies of the small side when a join on the source has to shuffle, so that a source with a third of all rows spreads.
@@ -75,8 +75,8 @@ def common_lines(lines: DataFrame, min_share: float = MIN_SHARE, min_docs: int =
 
 
 def with_lines_of_source(docs: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Left-join `per_source` (one row per source, cut) to documents. Broadcast when its rows are few; else a salted shuffle join."""
-    if per_source.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20:  # at most 20 lines x mean lines a document each
+    """Left-join `per_source` (one row per source, cut) to documents. Broadcast when it is small, in rows and bytes; else a salted shuffle join."""
+    if is_small(per_source):
         return docs.join(F.broadcast(per_source), "source", "left")
     copies = per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(copies, ["source", "salt"], "left").drop("salt")
