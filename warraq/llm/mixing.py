@@ -48,17 +48,19 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], block: int = BLOCK) -> dict[str, tuple[int, int]]:
-    """(blocks the source has, blocks it gives) by source. targets: (share, most repeats)."""
+def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], block: int = BLOCK, total: int | None = None) -> dict[str, tuple[int, int]]:
+    """(blocks the source has, blocks it gives) by source. targets: (share, most repeats). `total` blocks, or as many as all
+    targets can be met with; a source that can't give its share of `total` gives all it may."""
     have = {s: -(-tokens.get(s, 0) // block) for s in targets if tokens.get(s, 0) > 0 and targets[s][0] > 0}
     if not have:
         return {}
     total_share = sum(targets[s][0] for s in have)
-    total = min(int(have[s] * targets[s][1] * total_share / targets[s][0]) for s in have)
+    if total is None:
+        total = min(int(have[s] * targets[s][1] * total_share / targets[s][0]) for s in have)
     names = sorted(have)
     # whole blocks in proportion to the shares, no source beyond its repeats
     scale = 10**9
-    given = apportion(total, [max(1, round(targets[s][0] / total_share * scale)) for s in names])
+    given = apportion(total, [max(1, round(targets[s][0] / total_share * scale)) for s in names])  # total is below the sum of these
     return {s: (have[s], min(g, have[s] * targets[s][1])) for s, g in zip(names, given, strict=True)}
 
 
@@ -83,16 +85,16 @@ def _slots(names: list[str], have: list[int], given: list[int], shard: int, seed
     return run
 
 
-def mixed(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mixed(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, shares). sizes: (id, source, tokens), a cut; targets: (source, target_share, max_repeats).
 
-    texts: (shard, slot, source, block, copy, id, from_token, to_token), the pieces of texts each slot holds; shares: per source its target, its share reached, and the most copies of a block used.
+    texts: (shard, slot, source, block, copy, id, from_token, to_token), the pieces of texts each slot holds; shares: per source its target, its share reached, what is missing of the target, and the most copies of a block used. The set has `total` tokens, or as many as the scarcest source allows.
     """
     spark = sizes.sparkSession
     want = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect()}  # a fixed small table
     ours = sizes.select("id", "source", "tokens").join(bounded_broadcast(targets.select("source").distinct()), "source", "left_semi").filter("tokens > 0")
     tokens = {r["source"]: r["n"] for r in ours.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row per target
-    chosen = plan(tokens, want, block)
+    chosen = plan(tokens, want, block, None if total is None else max(1, total // block))
     names = list(chosen)
     spans = running_sum(ours, "id", F.col("source"), [F.xxhash64("id")], F.col("tokens")).withColumnRenamed("group", "source")
     lo, hi = F.col("before"), F.col("before") + F.col("value")
@@ -104,6 +106,6 @@ def mixed(sizes: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int =
         slots = spark.createDataFrame([], "shard bigint, slot bigint, source string, block bigint, copy bigint")
     texts = cut(slots.join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "copy", "id", "from_token", "to_token"), "mixed")
     got = texts.groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("tokens"), (F.max("copy") + 1).alias("copies"))
-    total = texts.agg(F.sum(F.col("to_token") - F.col("from_token")).alias("total"))
-    shares = targets.join(got, "source", "left").join(F.broadcast(total)).select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("share"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    whole = texts.agg(F.sum(F.col("to_token") - F.col("from_token")).alias("total"))
+    shares = targets.join(got, "source", "left").join(F.broadcast(whole)).select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("share"), F.greatest(F.lit(0.0), F.col("target_share") - F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("shortfall"), F.coalesce("copies", F.lit(0)).alias("copies"))
     return texts, shares
