@@ -12,9 +12,10 @@ from warraq import lexicons, schemas
 from warraq.functions import text as t
 
 
-def article(articles: DataFrame, article_id: int | Column, cols: Sequence[str] = schemas.DETAILS) -> DataFrame:
-    """No row: not found."""
-    return articles.filter(F.col("id") == article_id).select(*cols)
+def article(articles: DataFrame, article_id: int | DataFrame, cols: Sequence[str] = schemas.DETAILS) -> DataFrame:
+    """No row: not found. The id may be a table of one row."""
+    one = articles.filter(F.col("id") == article_id) if isinstance(article_id, int) else articles.join(F.broadcast(article_id), "id", "left_semi")
+    return one.select(*cols)
 
 
 def listing(articles: DataFrame, source: str | None = None, skip: int = 0, limit: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from warraq import lexicons
 from warraq.functions import text as t
 from warraq.functions.html import main_text_column
-from warraq.operators import dedup, entities, feedback, metrics, sampling, scoring, similarity
+from warraq.operators import dedup, entities, feedback, metrics, sampling, scoring, similarity, summaries
 from warraq.plans import api, pipeline
 from warraq.runtime import cut, table
 from warraq.sources import feeds
@@ -71,11 +71,13 @@ def feed_page_nulls_first(spark, d):
     return api.feed(table(spark, d, "articles"), page=2).withColumn("published_at", micros("published_at"))
 
 
-@query("""SELECT id, title, url, source_name, content, cluster_id, language, word_count FROM articles WHERE id = (SELECT min(id) FROM articles WHERE cluster_id IS NOT NULL)""")
+@query("""SELECT id, title, source_name, epoch_us(published_at) AS published_at, reliability_score, verified, propaganda_label, statement_type, attribution_label, url, content, array_to_string(persons, '|') AS persons, array_to_string(organizations, '|') AS organizations,
+    array_to_string(locations, '|') AS locations, array_to_string(misc, '|') AS misc, cluster_id, neutrality_score, attribution_score, epoch_us(scraped_at) AS scraped_at, language, word_count FROM articles WHERE id = (SELECT min(id) FROM articles WHERE cluster_id IS NOT NULL)""")
 def article_details(spark, d):
     a = table(spark, d, "articles")
     first = a.filter("cluster_id is not null").agg(F.min("id").alias("id"))
-    return a.join(F.broadcast(first), "id").select("id", "title", "url", "source_name", "content", "cluster_id", "language", "word_count")
+    one = api.article(a, a.join(F.broadcast(first), "id").select("id"))
+    return one.withColumns({"published_at": micros("published_at"), "scraped_at": micros("scraped_at")} | {c: F.array_join(c, "|") for c in ("persons", "organizations", "locations", "misc")})
 
 
 @query("SELECT id, title, source_name, propaganda_label, statement_type FROM articles WHERE propaganda_label = 'propaganda' AND statement_type = 'opinion'")
@@ -746,6 +748,109 @@ fixture("entity_rules", [
 
 _ITEM = "<rss><channel><item><title>خبر</title><link>http://a/1?x=1&amp;y=2</link><description>{}</description><pubDate>Mon, 06 Jan 2025 10:00:00 GMT</pubDate></item></channel></rss>"
 fixture("feed_entry_rules", [
-    ("escaped markup", _ITEM.format("&lt;p&gt;نص &amp;amp; نص&lt;/p&gt;"), "http://a/1?x=1&y=2|نص & نص|2025-01-06 10:00:00"), ("cdata", _ITEM.format("<![CDATA[<b>نص</b> قصير]]>"), "http://a/1?x=1&y=2|نص قصير|2025-01-06 10:00:00"),
-    ("twice escaped", _ITEM.format("نص طويل &amp;lt;ب&amp;gt; نص طويل جدا"), "http://a/1?x=1&y=2|نص طويل &lt;ب&gt; نص طويل جدا|2025-01-06 10:00:00"),
-], lambda x: feeds.articles_of(feeds.entries(x.select(F.col("case").alias("feed"), F.col("x").alias("xml")))).select(F.col("feed").alias("case"), F.concat_ws("|", "url", "content", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("output")))
+    ("escaped markup", _ITEM.format("&lt;p&gt;نص &amp;amp; نص&lt;/p&gt;"), "http://a/1?x=1&y=2|نص & نص|1736157600"), ("cdata", _ITEM.format("<![CDATA[<b>نص</b> قصير]]>"), "http://a/1?x=1&y=2|نص قصير|1736157600"),
+    ("twice escaped", _ITEM.format("نص طويل &amp;lt;ب&amp;gt; نص طويل جدا"), "http://a/1?x=1&y=2|نص طويل &lt;ب&gt; نص طويل جدا|1736157600"),
+], lambda x: feeds.articles_of(feeds.entries(x.select(F.col("case").alias("feed"), F.col("x").alias("xml")))).select(F.col("feed").alias("case"), F.concat_ws("|", "url", "content", F.unix_seconds("published_at")).alias("output")))
+
+
+def _halves(of: Callable[[Column], Column]) -> list[Column]:
+    return [of(F.split("x", r"\|\|")[k]) for k in (0, 1)]
+
+
+def _listed(c: Column) -> Column:
+    return F.filter(F.split(c, ","), lambda x: x != "")
+
+
+fixture("entity_overlap_rules", [
+    ("equal", "تونس||تونس,بيروت", "true"), ("held without articles", "مدينة الرباط||رباط", "true"), ("too short", "الري||ري", "false"), ("none", "||تونس", "false"), ("different", "بغداد||دمشق", "false"),
+], lambda x: x.withColumn("output", t.share_entities(*_halves(_listed)).cast("string")))
+
+_PLACES = {"a": ["x", "two words"], "b": ["y"], "c": ["z"]}
+fixture("place_conflict_rules", [
+    ("two domains", "x||y", "true"), ("case ignored", "X||y", "true"), ("one within the other", "x,y||y", "false"), ("unknown", "q||y", "false"), ("same", "x||two words", "false"), ("three", "x,y||y,z", "true"),
+], lambda x: x.withColumn("output", t.geo_conflict(*_halves(lambda c: t.domains(_listed(c), F.lit(""), _PLACES))).cast("string")))
+
+fixture("title_conflict_rules", [
+    ("stems meet", "المدرسة تفتح||مدرسة قديمة", "false"), ("nothing in common", "سعر القمح||حريق بيروت", "true"), ("no words", "||حريق بيروت", "false"), ("quotes and colon", "«القمح» سعر:||القمح يرتفع", "false"), ("only ignored words", "في من على||حريق بيروت", "false"),
+], lambda x: x.withColumn("output", t.title_conflict(*_halves(lambda c: t.title_words(c, lexicons.IGNORED_TITLE_WORDS))).cast("string")))
+
+fixture("time_rules", [
+    ("zone by name", "Mon, 06 Jan 2025 10:00:00 GMT", "1736157600"), ("offset", "Tue, 07 Jan 2025 01:30:00 +0300", "1736202600"), ("iso", "2025-01-06T10:00:00Z", "1736157600"), ("no time", "soon", None),
+], lambda x: x.withColumn("output", F.unix_seconds(t.parse_time(F.col("x"))).cast("string")))
+
+fixture("title_suffix_rules", [("one", "خبر عاجل - الموقع", "خبر عاجل"), ("two", "a - b - c", "a - b"), ("none", "a-b", "a-b")], lambda x: x.withColumn("output", t.without_suffix(F.col("x"))))
+
+fixture("leading_hook_rules", [
+    ("question", "ما هذا؟ " + "كلمة " * 20, ("كلمة " * 20).strip()), ("short sentence", "قصير. " + "x" * 90, "x" * 90), ("two of three", "من؟ لماذا؟ أين؟ " + "y" * 90, "أين؟ " + "y" * 90), ("too little left", "سؤال؟ نص", "سؤال؟ نص"),
+], lambda x: x.withColumn("output", t.strip_hook(F.col("x"))))
+
+fixture("final_label_rules", [
+    ("last marker", "التقييم النهائي: propaganda\nx\nالتقييم النهائي: Neutral", "neutral"), ("both words", "neutral propaganda", "propaganda"), ("second line", "التقييم النهائي:\nx", "unknown"), ("nothing", "", "unknown"),
+], lambda x: x.withColumn("output", t.parse_output(F.col("x"))))
+
+fixture("prediction_rules", [
+    ("techniques", "Verdict: Propaganda\nTechnique: doubt | LOADED.", "Doubt | Loaded,true"), ("neutral", "verdict: neutral\ntechnique: x", "Neutral,true"), ("no technique", "Verdict: propaganda", "Propaganda,true"), ("no verdict", "Technique: odd", "odd,false"), ("nothing", "", "Neutral,false"),
+], lambda x: x.withColumn("output", F.concat_ws(",", *[t.parse_prediction(F.col("x"), {"doubt": "Doubt", "loaded": "Loaded"})[f].cast("string") for f in ("label", "format_matched")])))
+
+fixture("degenerate_summary_rules", [
+    ("empty", "", "true"), ("asks", "هل؟", "true"), ("list", "نص\n1. x", "true"), ("lone dash", "a\n-\nb", "true"), ("year near", "it was fine in 2021 and 2028", "false"), ("year before", "since 2020", "true"), ("year after", "until 2029", "true"), ("number", "12345 people", "false"), ("long", "x" * 601, "true"), ("longest", "x" * 600, "false"),
+], lambda x: x.withColumn("output", t.is_degenerate(F.col("x"), 2026).cast("string")))
+
+fixture("summary_tidy_rules", [("dashes", " -- نص", "نص"), ("markup", "<b>x</b>", "x"), ("blank lines", "a\n\n\nb", "a\nb"), ("heading", "a\n1. First: b", "a\nb")], lambda x: x.withColumn("output", t.tidy_summary(F.col("x"), F.lit(1))))
+
+fixture("cut_rules", [("short", "abc", "abc"), ("at a space", "hello big world", "hello big"), ("no space", "abcdefghijkl", "abcdefghij")], lambda x: x.withColumn("output", t.cut_at_space(F.col("x"), 10)))
+
+fixture("prompt_rules", [("ratio", "نص", "Title: خبر\nText: نص\nLoaded words: 0.1250")], lambda x: x.withColumn("output", t.prompt(F.lit("خبر"), F.col("x"), F.lit(0.125))))
+
+fixture("script_rules", [("arabic", "نص عربي", "true"), ("latin", "plain", "false"), ("mixed", "نص ab", "true"), ("blank", "", "false"), ("presentation forms", "ﻧﺺ", "false")], lambda x: x.withColumn("output", t.is_script(F.col("x"), blocks=t.ARABIC_BLOCK).cast("string")))
+
+fixture("content_or_title_rules", [
+    ("short", "قصير", "عنوان"), ("long", "كلمة " * 10, "كلمة " * 10), ("boilerplate", "جميع الحقوق محفوظة لهذا الموقع الإلكتروني وشارك الخبر", "عنوان"),
+], lambda x: x.withColumn("output", feeds.content_or_title(F.lit("عنوان"), F.col("x"), lexicons.BOILERPLATE)))
+
+fixture("body_rules", [
+    ("long page", f"<article>{_P * 5}</article>", " ".join(["كلمة " * 19 + "كلمة"] * 5)), ("short page", f"<article>{_P}</article>", "short"), ("no text", "<div>x</div>", "short"),
+], lambda x: feeds.with_bodies(x.select("case", F.col("case").alias("url"), F.lit("short").alias("content")), x.select(F.col("case").alias("url"), F.col("x").alias("html"))).withColumnRenamed("content", "output"))
+
+fixture("redirect_rules", [("known", "http://a", "http://b"), ("unknown", "http://c", "http://c")], lambda x: feeds.resolved(x.withColumnRenamed("x", "url"), x.sparkSession.createDataFrame([("http://a", "http://b")], "url string, target string")).withColumnRenamed("url", "output"))
+
+fixture("search_entry_rules", [("new text", "خبر - موقع||نص الخبر", "خبر"), ("suffix kept once", "a - b - c||d", "a - b")], lambda x: feeds.search_entries(x.select("case", F.split("x", r"\|\|")[0].alias("title"), F.split("x", r"\|\|")[1].alias("content"))).withColumnRenamed("title", "output"))
+
+fixture("relaxed_label_rules", [("among", "a | b||b", "b"), ("not among", "a | b||c", "a | b"), ("single", "a||a", "a")], lambda x: x.withColumn("output", metrics.relaxed(*_halves(lambda c: c))))
+
+fixture("override_rules", [("much bias", "0.4,neutral", "propaganda"), ("at the bound", "0.5,neutral", "neutral"), ("other label", "0.1,satire", "satire"), ("none found", "0.2,no_propaganda", "propaganda")], lambda x: x.withColumn("output", scoring.bias_override(F.split("x", ",")[1], F.split("x", ",")[0].cast("double"))))
+
+fixture("reliability_rules", [("all", "0.5,0.8,0.5", "0.68"), ("none", "0,0,0", "0.15"), ("best", "1,1,1", "1.0")], lambda x: x.withColumn("output", scoring.reliability(*[F.split("x", ",")[k].cast("double") for k in range(3)]).cast("string")))
+
+fixture("conversation_rules", [("in turn", "user,assistant,user", "true"), ("system first", "system,user,assistant", "true"), ("twice", "user,user", "false"), ("assistant first", "assistant,user", "false")], lambda x: x.withColumn("output", summaries.alternates(F.transform(F.split("x", ","), lambda r: F.struct(r.alias("role"), r.alias("content")))).cast("string")))
+
+fixture("summary_prompt_rules", [
+    ("two texts", "one text here.||another text.", "Summarize the text.\n\n--- 1 ---\none text here.\n\n--- 2 ---\nanother text."), ("blank left out", "one|| ", "Summarize the text.\n\n--- 1 ---\none"),
+], lambda x: x.withColumn("output", summaries.prompt(F.split("x", r"\|\|"))))
+
+
+# ---- changes of tables, as new tables
+
+
+@query("SELECT id, CASE WHEN article_id IS NULL THEN 'rejected' ELSE status END AS status, CASE WHEN article_id IS NULL THEN 'no article' ELSE admin_notes END AS admin_notes FROM article_feedback")
+def feedback_with_status(spark, d):
+    return feedback.with_status(table(spark, d, "article_feedback"), F.col("article_id").isNull(), "rejected", "no article").select("id", "status", "admin_notes")
+
+
+@query("""WITH a AS (SELECT coalesce(max(propaganda_f1), 0) AS best FROM training_job WHERE is_active) SELECT id, CASE WHEN id = 3 THEN 'COMPLETED' ELSE status END AS status, CASE WHEN id = 3 THEN 0.99 ELSE propaganda_f1 END AS propaganda_f1,
+    CASE WHEN id = 3 THEN 0.99 >= best ELSE is_active AND NOT (0.99 >= best) END AS is_active FROM training_job, a""")
+def finished_job(spark, d):
+    return feedback.finish_job(table(spark, d, "training_job"), 3, 0.99).select("id", "status", "propaganda_f1", "is_active")
+
+
+@query("""SELECT f.id + 1000000 AS id, f.article_id, a.propaganda_label AS propaganda_prediction, a.statement_type AS statement_prediction, a.attribution_label AS attribution_prediction, 'pending' AS status FROM (SELECT DISTINCT id, article_id FROM article_feedback) f JOIN articles a ON a.id = f.article_id""")
+def inserted_feedback(spark, d):
+    f = table(spark, d, "article_feedback")
+    given = f.select((F.col("id") + 1000000).alias("id"), "article_id").distinct()
+    every = feedback.inserted(f, table(spark, d, "articles"), given).filter("id >= 1000000")
+    return every.select("id", "article_id", "propaganda_prediction", "statement_prediction", "attribution_prediction", "status")
+
+
+@query("SELECT id, title FROM articles WHERE source_name = 'Luban Telegraph' ORDER BY id DESC LIMIT 20")
+def listing_of_source(spark, d):
+    return api.listing(table(spark, d, "articles"), "Luban Telegraph").select("id", "title")
