@@ -225,3 +225,19 @@ def test_broadcasts_are_bounded_by_bytes(spark):
 
     d = spark.range(10).withColumn("x", F.lit("y" * 100))
     assert is_small(d, 10, 2000) and not is_small(d, 9, 10_000) and not is_small(d, 10, 500)
+
+
+def test_story_candidates_against_all_pairs(spark):
+    from warraq.functions import text as t
+
+    rng = random.Random(3)
+    pick = lambda xs, n: [rng.choice(xs) for _ in range(rng.randint(0, n))]
+    data = [(i, rng.choice("pq"), pick(["gulf", "nile"], 2), sorted(set(pick(["القمح", "السوق", "سوق", "حريق", "مدرسة", "المدرسة"], 2))), pick(["قمح", "سوق"], 2), pick(["خالد العلي", "رنا"], 1), [], pick(["دمشق", "مدينة دمشق"], 1)) for i in range(60)]
+    d = spark.createDataFrame(data, "id long, poll string, domains array<string>, words array<string>, stems array<string>, persons array<string>, organizations array<string>, locations array<string>")
+    new, old = d.filter("id % 2 = 0"), d.filter("id % 2 = 1")
+    got = clustering.candidates(new, old, "poll").collect()
+    x, y = new.alias("x"), old.alias("y")
+    fit = ~t.geo_conflict(F.col("x.domains"), F.col("y.domains")) & ~t.title_conflict(F.col("x.words"), F.col("y.words"))
+    want = {tuple(r) for r in x.join(y, F.col("x.poll") == F.col("y.poll")).filter(fit).select("x.id", "y.id").collect()}
+    assert {(r["id"], r["other"]) for r in got} == want and len(got) == len(want) > 20
+    assert all(0 <= r["confidence"] <= 1.55 for r in got)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from warraq.functions import text as t
+
 # Least confidence and the cosine it needs; weights of shared entities and title stems.
 THRESHOLDS = [(0.6, 0.78), (0.3, 0.81), (-1.0, 0.84)]
 ENTITY, STEMS = 0.35, 0.5
@@ -70,6 +72,29 @@ def assign(rows: pd.DataFrame) -> list[int]:
     return out
 
 
+def candidates(new: DataFrame, active: DataFrame, block: str) -> DataFrame:
+    """(<block>, id, other, confidence): each row of `new` with the rows of `active` of its block that no place or title conflict
+    keeps apart. Columns as for `assign`, and id.
+
+    Titles without a word or stem in common are in conflict, unless one has no words, so the rows meet on words and stems of
+    their block; rows without title words, few, meet the whole block.
+    """
+    both = F.array_union("words", F.transform("words", lambda w: t.light_stem(w)))
+    key = lambda d, i: d.select(block, F.col("id").alias(i), F.explode(both).alias("_k"))
+    bare = lambda d, i: d.filter(F.size("words") == 0).select(block, F.col("id").alias(i))
+    every = lambda d, i: d.select(block, F.col("id").alias(i))
+    met = key(new, "id").join(key(active, "other"), [block, "_k"]).select(block, "id", "other")
+    for a, b in ((bare(new, "id"), every(active, "other")), (every(new, "id"), bare(active, "other"))):
+        met = met.unionByName(a.join(b, block).select(block, "id", "other"))
+    cols = ["domains", "words", "stems", "persons", "organizations", "locations"]
+    x = new.select(F.col("id"), F.struct(*cols).alias("a"))
+    y = active.select(F.col("id").alias("other"), F.struct(*cols).alias("b"))
+    j = met.filter("id <> other").distinct().join(x, "id").join(y, "other").filter(~t.geo_conflict(F.col("a.domains"), F.col("b.domains")) & ~t.title_conflict(F.col("a.words"), F.col("b.words")))
+    shared = sum((t.share_entities(F.col(f"a.{c}"), F.col(f"b.{c}")).cast("int") for c in ("persons", "organizations", "locations")), F.lit(0))
+    stems = F.size(F.array_intersect("a.stems", "b.stems"))
+    return j.select(block, "id", "other", (ENTITY * shared + STEMS * F.least(F.lit(1.0), stems / 3)).alias("confidence"))
+
+
 _COLUMNS = ["vector", "domains", "words", "stems", "persons", "organizations", "locations"]
 
 

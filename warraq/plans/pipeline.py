@@ -37,12 +37,16 @@ def hashed_vector(tokens: Column, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
 
 
-def stories(d: DataFrame, batch: str, seq: str) -> DataFrame:
-    """Rows with title, title_clean, content_clean and entity lists, clustered within their batch."""
+def traits(d: DataFrame, *keep: str) -> DataFrame:
+    """What stories are told apart by: vector, places' domains, title words and stems, entities; of rows with title, title_clean, content_clean and entity lists."""
     text = F.concat_ws(" ", "title_clean", F.substring(F.coalesce("content_clean", F.lit("")), 1, 250))
     words = t.title_words(F.col("title"), lexicons.IGNORED_TITLE_WORDS)
-    rows = d.select(batch, seq, hashed_vector(t.tokenize(text)).alias("vector"), t.domains(F.col("locations"), F.col("title"), lexicons.GAZETTEER).alias("domains"), words.alias("words"), F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: t.light_stem(w)).alias("stems"), "persons", "organizations", "locations")
-    return clustering.incremental(rows, batch, seq)
+    return d.select(*keep, hashed_vector(t.tokenize(text)).alias("vector"), t.domains(F.col("locations"), F.col("title"), lexicons.GAZETTEER).alias("domains"), words.alias("words"), F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: t.light_stem(w)).alias("stems"), "persons", "organizations", "locations")
+
+
+def stories(d: DataFrame, batch: str, seq: str) -> DataFrame:
+    """Rows with title, title_clean, content_clean and entity lists, clustered within their batch."""
+    return clustering.incremental(traits(d, batch, seq), batch, seq)
 
 
 def ingest_stories(raw: DataFrame, known: DataFrame, sources: DataFrame, batch: Column, seq: str = "id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from warraq import lexicons
 from warraq.functions import text as t
 from warraq.functions.html import main_text_column
-from warraq.operators import dedup, entities, feedback, metrics, sampling, scoring, similarity, summaries
+from warraq.operators import clustering, dedup, entities, feedback, metrics, sampling, scoring, similarity, summaries
 from warraq.plans import api, pipeline
 from warraq.runtime import cut, table
 from warraq.sources import feeds
@@ -403,11 +403,11 @@ def sub_entity_removal(spark, d):
 
 
 @query()
-def entity_and_place_blocking(spark, d):
-    """Pairs of neighbours in one cluster with their shared entities and conflicts."""
-    a = table(spark, d, "articles").filter("cluster_id is not null").select("cluster_id", "id", "persons", t.domains(F.col("locations"), F.col("title"), lexicons.GAZETTEER).alias("dom"), t.title_words(F.col("title"), lexicons.IGNORED_TITLE_WORDS).alias("w"))
-    nxt = a.withColumn("o", F.expr("lead(struct(id, persons, dom, w)) over (partition by cluster_id order by id)")).filter("o is not null")
-    return nxt.select("cluster_id", "id", F.col("o.id").alias("next"), t.share_entities(F.col("persons"), F.col("o.persons")).alias("shared"), t.geo_conflict(F.col("dom"), F.col("o.dom")).alias("geo"), t.title_conflict(F.col("w"), F.col("o.w")).alias("title"))
+def story_candidates(spark, d):
+    """New articles with the stored ones of their poll that nothing keeps apart, and how sure a match would be."""
+    a = table(spark, d, "articles").withColumn("poll", _poll())
+    x = cut(pipeline.traits(a, "poll", "id", "is_processed"), "traits")
+    return clustering.candidates(x.filter("not is_processed"), x.filter("is_processed"), "poll")
 
 
 # ---- scores
