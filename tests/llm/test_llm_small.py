@@ -98,6 +98,18 @@ def test_repeated_lines_against_count(spark):
     assert lines.repeated_blocks(empty).count() == 0
 
 
+def test_large_buckets_are_parted(spark, monkeypatch):
+    rng = random.Random(11)
+    body = ["share it", "all rights", "sign up", "follow us"]
+    data = [(i, "s", "\n".join([f"unique {''.join(rng.choice('abcdef') for _ in range(12))}", *rng.choices(body, k=rng.randint(1, 6))])) for i in range(150)]
+    got = cut(lines.line_table(spark.createDataFrame(data, "id long, source_name string, content string"), "id", "source_name", "content"))
+    blocks = lambda: sorted((tuple(r["block"]), r["n_docs"]) for r in lines.repeated_blocks(got).collect())
+    whole = blocks()
+    for limit in (20, 2):
+        monkeypatch.setattr(lines, "BUCKET", limit)
+        assert blocks() == whole and len(whole) > 10
+
+
 def test_suffix_array_counts_documents():
     # A B in two documents, once twice in one of them
     suffixes = [([1, 2], 0, 2), ([1, 2], 2, 1), ([1, 3], 0, 1)]

@@ -2,8 +2,9 @@
 
 A document is the sequence of its lines' identifiers. Lines that too few documents of the source hold can be part of no
 repeated block, so they act as separators; the suffixes of the runs between them are counted before they move, and a
-suffix array is built per (source, first line), the usual bucketing by first symbol. Common prefixes of neighbours give
-the repeated blocks with the exact number of documents they span; blocks spanning enough documents are deleted.
+suffix array is built per (source, first line), the usual bucketing by first symbol; a bucket of very many different suffixes is
+parted by the next line, and so on, so no hot line fills a task. Common prefixes of neighbours give the repeated blocks with the
+exact number of documents they span; blocks spanning enough documents are deleted.
 
 Defined results: null, empty or blank texts give no lines and count for no source; lines without a letter are never
 repeated lines; equal documents (same id twice) count once per row; a null source is a source of its own; an empty table
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +31,8 @@ from warraq.runtime import cut, is_small
 MIN_SHARE, MIN_DOCS = 0.05, 5
 #: Copies of the small side when a join on the source has to shuffle, so that a source with a third of all rows spreads.
 SALT = 32
+#: Different suffixes of one bucket; larger buckets are parted by one more line.
+BUCKET = 50_000
 _NOT_LETTER_IN_TEXT = re.compile(r"[^\w\n]+|[\d_]+")
 
 
@@ -117,12 +121,12 @@ def _common_prefix(a: list[int], b: list[int]) -> int:
     return n
 
 
-def repeated_in_suffix_array(suffixes: list[tuple[list[int], int, int]], need: int) -> list[tuple[list[int], int]]:
-    """Blocks of one bucket of suffixes (suffix, longest prefix seen earlier in its document, count): every maximal prefix
-    interval whose documents number `need` or more, with that number. `suffixes` is sorted here: the suffix array."""
+def repeated_in_suffix_array(suffixes: list[tuple[list[int], int, int]], need: int, parent: int = 0) -> list[tuple[list[int], int]]:
+    """Blocks of one bucket of suffixes (suffix, longest prefix seen earlier in its document, count) that share more than `parent`
+    lines: every maximal prefix interval whose documents number `need` or more, with that number. `suffixes` is sorted here: the suffix array."""
     s = sorted(suffixes)
     out: list[tuple[list[int], int]] = []
-    stack: list[tuple[int, int, int]] = [(0, len(s), 0)]
+    stack: list[tuple[int, int, int]] = [(0, len(s), parent)]
     while stack:
         lo, hi, parent = stack.pop()
         depth = _common_prefix(s[lo][0], s[hi - 1][0])  # of a sorted interval, the common prefix of its ends is that of all
@@ -145,10 +149,14 @@ def repeated_in_suffix_array(suffixes: list[tuple[list[int], int, int]], need: i
     return out
 
 
-def _blocks_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    need = int(pdf["need"].iloc[0])
-    found = repeated_in_suffix_array([(list(map(int, x)), int(e), int(n)) for x, e, n in zip(pdf["suffix"], pdf["earlier"], pdf["n"], strict=True)], need)
-    return pd.DataFrame({"source": pdf["source"].iloc[0], "block": [b for b, _ in found], "n_docs": [n for _, n in found], "need": need}, columns=["source", "block", "n_docs", "need"])
+def _blocks_of(depth: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        need = int(pdf["need"].iloc[0])
+        found = repeated_in_suffix_array([(list(map(int, x)), int(e), int(n)) for x, e, n in zip(pdf["suffix"], pdf["earlier"], pdf["n"], strict=True)], need, depth - 1)
+        n = len(found)
+        return pd.DataFrame({"source": pd.Series([pdf["source"].iloc[0]] * n, dtype=object), "block": pd.Series([b for b, _ in found], dtype=object), "n_docs": pd.Series([x for _, x in found], dtype="int64"), "need": pd.Series([need] * n, dtype="int64")})
+
+    return run
 
 
 def repeated_blocks(lines: DataFrame, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -157,8 +165,22 @@ def repeated_blocks(lines: DataFrame, min_share: float = MIN_SHARE, min_docs: in
     per_source = cut(common.groupBy("source").agg(F.collect_list("line").alias("lines"), F.first("need").alias("need")), "lines-of-source")
     found = with_lines_of_source(lines.filter(F.size("ids") > 0), per_source.select("source", "lines")).filter("lines is not null").select("source", "ids", "lines")
     suffixes = found.mapInArrow(_suffixes, "source string, suffix array<bigint>, earlier int").groupBy("source", "suffix", "earlier").agg(F.count("*").alias("n"))
-    buckets = suffixes.join(per_source.select("source", "need"), "source").withColumn("first", F.col("suffix")[0])
-    return buckets.groupBy("source", "first").applyInPandas(_blocks_of, "source string, block array<bigint>, n_docs bigint, need bigint")
+    work = cut(suffixes.join(per_source.select("source", "need"), "source"), "suffixes")
+    schema = "source string, block array<bigint>, n_docs bigint, need bigint"
+    out, depth = [], 1
+    while True:
+        rows = work.withColumn("prefix", F.slice("suffix", 1, depth)).withColumn("bucket", F.xxhash64("prefix"))
+        nxt = F.coalesce(F.try_element_at("suffix", F.lit(depth + 1)), F.lit(-1))
+        sizes = rows.groupBy("source", "bucket").agg(F.first("prefix").alias("prefix"), F.count("*").alias("rows"), F.sum("n").alias("total"), F.sum(F.when(F.col("earlier") < depth, F.col("n")).otherwise(0)).alias("n_docs"), F.min(nxt).alias("lo"), F.max(nxt).alias("hi"), F.first("need").alias("need"))
+        big = cut(sizes.filter((F.col("rows") > BUCKET) & (F.col("total") >= F.col("need"))), "large-buckets")
+        if big.isEmpty():
+            return reduce(DataFrame.unionByName, out, rows.drop("prefix").groupBy("source", "bucket").applyInPandas(_blocks_of(depth), schema))
+        key = ["source", "bucket"]
+        out.append(rows.drop("prefix").join(big.select(*key), key, "left_anti").groupBy(*key).applyInPandas(_blocks_of(depth), schema))
+        # the prefix itself is a block unless all its suffixes go on with one line
+        out.append(big.filter((F.col("n_docs") >= F.col("need")) & (F.col("lo") != F.col("hi"))).select("source", F.col("prefix").alias("block"), "n_docs", "need"))
+        work = cut(rows.join(big.select(*key), key, "left_semi").drop("prefix", "bucket").filter(F.size("suffix") > depth), "suffixes")
+        depth += 1
 
 
 def lines_of_blocks(blocks: DataFrame) -> DataFrame:
