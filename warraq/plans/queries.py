@@ -294,17 +294,23 @@ def normalize_text(spark, d):
     return table(spark, d, "articles").select("id", t.normalize(F.col("title")).alias("title"))
 
 
-_MARKUP = r"""regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g')"""
-for _e, _v in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
-    _MARKUP = f"replace({_MARKUP}, '{_e}', {_v})"
-_PLAIN = f"CASE WHEN contains(content, '<') OR contains(content, '&') THEN {_MARKUP} ELSE coalesce(content, '') END"
-for _p in (f"https?://[^{W[1:]}+|www\\.[^{W[1:]}+", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[a-zA-Z]{2,}", r"@[\p{L}\p{N}_]+"):
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', ' ', 'g')"
-_PLAIN = f"""regexp_replace(translate({_PLAIN}, '{t.DIGITS_FROM}', '{t.DIGITS_TO}'), '[^\\p{{L}}\\p{{N}}_{W[1:-1]}"''«»“”]', ' ', 'g')"""
+def _plain_sql(c: str) -> str:
+    """A text without markup, links, addresses, mentions and marks, blanks and runs of letters as they are."""
+    x = rf"""regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g')"""
+    for e, v in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{e}', {v})"
+    x = f"CASE WHEN contains({c}, '<') OR contains({c}, '&') THEN {x} ELSE coalesce({c}, '') END"
+    for pattern in (f"https?://[^{W[1:]}+|www\\.[^{W[1:]}+", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[a-zA-Z]{2,}", r"@[\p{L}\p{N}_]+"):
+        x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+    return f"""regexp_replace(translate({x}, '{t.DIGITS_FROM}', '{t.DIGITS_TO}'), '[^\\p{{L}}\\p{{N}}_{W[1:-1]}"''«»“”]', ' ', 'g')"""
 
 
-@query(f"""SELECT id, {sql_strip(f"regexp_replace(array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 2 AND x = c[i - 1] AND x = c[i - 2], false)), ''), '{W}+', ' ', 'g')")} AS text
-    FROM (SELECT id, string_split(p, '') AS c FROM (SELECT id, {_PLAIN} AS p FROM articles))""")
+def _joined_sql(c: str) -> str:
+    """The text of a list of characters, runs of three or more of one as two, blanks as one."""
+    return sql_strip(f"regexp_replace(array_to_string(list_filter({c}, lambda x, i: NOT coalesce(i > 2 AND x = {c}[i - 1] AND x = {c}[i - 2], false)), ''), '{W}+', ' ', 'g')")
+
+
+@query(f"""SELECT id, {_joined_sql('c')} AS text FROM (SELECT id, string_split(p, '') AS c FROM (SELECT id, {_plain_sql('content')} AS p FROM articles))""")
 def clean_text(spark, d):
     return table(spark, d, "articles").select("id", t.clean(F.col("content")).alias("text"))
 
@@ -436,7 +442,14 @@ def verified_flags(spark, d):
     return table(spark, d, "articles").select("id", scoring.is_verified(*cols).alias("verified"))
 
 
-_NORMAL = r"""translate(replace(regexp_replace(nfc_normalize(coalesce(content, '')), '[\x{064b}-\x{065f}\x{0610}-\x{061a}\x{06d6}-\x{06dc}\x{06df}-\x{06e8}\x{06ea}-\x{06ed}]', '', 'g'), chr(1600), ''), 'آأإٱٲٳٴٵ', 'اااااااا')"""
+def _normal_sql(c: str) -> str:
+    return rf"""translate(replace(regexp_replace(nfc_normalize(coalesce({c}, '')), '[\x{{064b}}-\x{{065f}}\x{{0610}}-\x{{061a}}\x{{06d6}}-\x{{06dc}}\x{{06df}}-\x{{06e8}}\x{{06ea}}-\x{{06ed}}]', '', 'g'), chr(1600), ''), 'آأإٱٲٳٴٵ', 'اااااااا')"""
+
+
+def _tokens_sql(c: str) -> str:
+    return rf"regexp_extract_all({c}, '[a-zA-Z0-9\x{{0600}}-\x{{06ff}}\x{{0750}}-\x{{077f}}\x{{fb50}}-\x{{fdff}}\x{{fe70}}-\x{{feff}}]+')"
+
+
 _BARE = "translate(w, 'ةأإآ', 'هااا')"
 _HEADLESS = "CASE " + " ".join(f"WHEN starts_with({_BARE}, '{p}') AND length({_BARE}) > {len(p) + 2} THEN substring({_BARE}, {len(p) + 1})" for p in t.PREFIXES_B) + f" ELSE {_BARE} END"
 _TAILLESS = "CASE " + " ".join(f"WHEN ends_with(c, '{s}') AND length(c) > {len(s) + 1} THEN left(c, length(c) - {len(s)})" for s in t.SUFFIXES) + " ELSE c END"
@@ -444,16 +457,39 @@ _PHRASES = sorted(lexicons.LOADED, key=lambda p: (-len(p.split()), p))
 _WEIGHT = "CASE m " + " ".join(f"WHEN ' {p.replace(' ', '  ')} ' THEN {lexicons.LOADED[p]}::DOUBLE" for p in _PHRASES) + " END"
 
 
-# each stem between blanks of its own, so that phrases met one after the other don't share one
-@query(rf"""WITH k AS (SELECT id, list_filter(list_transform(list_transform(regexp_extract_all({_NORMAL}, '[a-zA-Z0-9\x{{0600}}-\x{{06ff}}\x{{0750}}-\x{{077f}}\x{{fb50}}-\x{{fdff}}\x{{fe70}}-\x{{feff}}]+'), lambda w: {_HEADLESS}), lambda c: {_TAILLESS}), lambda x: x <> '') AS w FROM articles),
-    m AS (SELECT id, len(w) AS n, regexp_extract_all(array_to_string(list_transform(w, lambda x: ' ' || x || ' '), ''), '{'|'.join(' ' + p.replace(' ', '  ') + ' ' for p in _PHRASES)}') AS met FROM k)
-    SELECT id, CASE WHEN n = 0 THEN 0 ELSE coalesce(list_reduce(list_transform(met, lambda m: {_WEIGHT}), lambda a, b: a + b, 0::DOUBLE), 0) / n END AS ratio FROM m""")
+def _stems_sql(tokens: str) -> str:
+    return f"list_filter(list_transform(list_transform({tokens}, lambda w: {_HEADLESS}), lambda c: {_TAILLESS}), lambda x: x <> '')"
+
+
+def _share_sql(w: str) -> str:
+    """Each stem between blanks of its own, so that phrases met one after the other don't share one."""
+    met = f"regexp_extract_all(array_to_string(list_transform({w}, lambda x: ' ' || x || ' '), ''), '{'|'.join(' ' + p.replace(' ', '  ') + ' ' for p in _PHRASES)}')"
+    return f"CASE WHEN len({w}) = 0 THEN 0 ELSE coalesce(list_reduce(list_transform({met}, lambda m: {_WEIGHT}), lambda a, b: a + b, 0::DOUBLE), 0) / len({w}) END"
+
+
+@query(f"SELECT id, {_share_sql('w')} AS ratio FROM (SELECT id, {_stems_sql(_tokens_sql(_normal_sql('content')))} AS w FROM articles)")
 def loaded_ratio(spark, d):
     a = table(spark, d, "articles").select("id", t.tokenize(t.normalize(F.col("content"))).alias("w"))
     return a.select("id", t.loaded_ratio(F.col("w"), lexicons.LOADED).alias("ratio"))
 
 
-@query()
+_ARABIC_SHARE = r"length(regexp_replace(x, '[^\x{0600}-\x{06ff}\x{0750}-\x{077f}\x{fb50}-\x{fdff}\x{fe70}-\x{feff}]', '', 'g'))::DOUBLE / length(x)"
+_NOT_BODY = f"c0 = '' OR (length(c0) < 250 AND len(list_filter({sql_list(lexicons.BOILERPLATE)}, lambda k: contains(c0, k))) >= 2) OR length({sql_strip('c0')}) < 40"
+_OPINION = f"len(list_filter({sql_list(lexicons.OPINION_MARKERS)}, lambda m: contains(lower(coalesce(title, '') || ' ' || coalesce(content, '')), m))) > 0"
+
+
+@query(f"""WITH p AS (SELECT id, source_name, title, CASE WHEN {_NOT_BODY} THEN title ELSE c0 END AS content FROM (SELECT *, coalesce(content, '') AS c0 FROM articles)),
+    g AS (SELECT * FROM (SELECT *, concat_ws(' ', title, content) AS x FROM p) WHERE length(x) > 0 AND {_ARABIC_SHARE} >= 0.40),
+    c AS (SELECT *, string_split({_plain_sql('title')}, '') AS ct, string_split({_plain_sql('content')}, '') AS cc FROM g),
+    n AS (SELECT *, {_normal_sql(_joined_sql('ct'))} AS nt, {_normal_sql(_joined_sql('cc'))} AS nc FROM c),
+    k AS (SELECT *, {_tokens_sql("concat_ws(' ', nt, nc)")} AS w FROM n),
+    s AS (SELECT *, {_stems_sql('w')} AS every, {_stems_sql(f"list_filter(w, lambda x: NOT list_contains({sql_list(lexicons.STOPWORDS)}, x))")} AS kept FROM k),
+    r AS (SELECT *, {_share_sql('every')} AS ratio, floor(greatest(0::DOUBLE, 1 - 20 * {_share_sql('kept')}) * 100 + 0.5) / 100 AS neutrality_score, {_ATTR} AS attribution_score FROM s),
+    a AS (SELECT r.*, floor((0.35::DOUBLE * coalesce(l.s, 0.40) + 0.35::DOUBLE * neutrality_score + 0.15::DOUBLE * attribution_score + 0.15::DOUBLE) * 100 + 0.5) / 100 AS reliability_score,
+        CASE WHEN {_OPINION} OR neutrality_score < 0.50 THEN 'opinion' ELSE 'reporting' END AS statement_type, CASE WHEN attribution_score >= 0.30 THEN 'supported_claim' ELSE 'unsupported_claim' END AS attribution_label,
+        CASE WHEN ratio >= 0.02 OR (1 - neutrality_score) * 100 > 50 THEN 'propaganda' ELSE 'neutral' END AS propaganda_label FROM r LEFT JOIN {_LAST_AUTHORITY} l ON r.source_name = l.name)
+    SELECT id, reliability_score, neutrality_score, attribution_score, propaganda_label, statement_type, attribution_label,
+        reliability_score >= 0.70 AND neutrality_score >= 0.60 AND statement_type = 'reporting' AND attribution_label = 'supported_claim' AND propaganda_label = 'neutral' AS verified FROM a""")
 def scored_articles(spark, d):
     a = table(spark, d, "articles").select("id", "url", "title", "content", "source_name")
     return pipeline.scored(pipeline.prepared(a), table(spark, d, "sources")).select("id", "reliability_score", "neutrality_score", "attribution_score", "propaganda_label", "statement_type", "attribution_label", "verified")
