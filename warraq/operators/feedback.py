@@ -41,11 +41,15 @@ def with_status(feedback: DataFrame, ids: Column, status: str, notes: str | None
     return feedback.withColumns({"status": F.when(ids, F.lit(status)).otherwise(F.col("status")), "admin_notes": F.when(ids & F.lit(notes is not None), F.lit(notes)).otherwise(F.col("admin_notes"))})
 
 
-def stamp_job(feedback: DataFrame, job_id: int, threshold: int = 1) -> DataFrame:
-    """Approved feedback without a job gets this one, if there are `threshold` rows or more."""
+def stamp_job(feedback: DataFrame, job_id: int, threshold: int = 1, most: int | None = None) -> DataFrame:
+    """Approved feedback without a job gets this one, if there are `threshold` rows or more; with `most`, only that of so many ids, the least ones."""
     free = (F.col("status") == "approved") & F.col("training_job_id").isNull()
+    if most is not None:
+        first = feedback.filter(free).select("id").distinct().orderBy("id").limit(most).withColumn("_first", F.lit(True))
+        feedback = feedback.join(first, "id", "left")
+        free = free & F.coalesce("_first", F.lit(False))
     n = feedback.agg(F.count(F.when(free, 1)).alias("_n"))
-    return feedback.join(F.broadcast(n)).withColumn("training_job_id", F.when(free & (F.col("_n") >= threshold), F.lit(job_id)).otherwise(F.col("training_job_id"))).drop("_n")
+    return feedback.join(F.broadcast(n)).withColumn("training_job_id", F.when(free & (F.col("_n") >= threshold), F.lit(job_id)).otherwise(F.col("training_job_id"))).drop("_n", "_first")
 
 
 def unstamp_job(feedback: DataFrame, job_id: int) -> DataFrame:

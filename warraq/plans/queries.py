@@ -577,12 +577,13 @@ def stratified_probe(spark, d):
     return sampling.stratified(table(spark, d, "approved_feedback_dataset"), "rec_id", F.col("propaganda_label"), 20)
 
 
-@query("""SELECT rec_id, title, text, CASE propaganda_label WHEN 'neutral' THEN 0 WHEN 'loaded_language' THEN 1 WHEN 'doubt_casting' THEN 1 WHEN 'propaganda' THEN 1 END AS propaganda,
-    CASE statement_type WHEN 'reporting' THEN 0 WHEN 'opinion' THEN 1 WHEN 'speculation' THEN 1 END AS statement FROM approved_feedback_dataset
+@query(f"""SELECT rec_id, title, text, {_share_sql('w')} AS ratio, CASE propaganda_label WHEN 'neutral' THEN 0 WHEN 'loaded_language' THEN 1 WHEN 'doubt_casting' THEN 1 WHEN 'propaganda' THEN 1 END AS propaganda,
+    CASE statement_type WHEN 'reporting' THEN 0 WHEN 'opinion' THEN 1 WHEN 'speculation' THEN 1 END AS statement FROM (SELECT *, {_stems_sql(_tokens_sql(_normal_sql('text')))} AS w FROM approved_feedback_dataset)
     WHERE propaganda_label IN ('neutral', 'loaded_language', 'doubt_casting', 'propaganda') AND statement_type IN ('reporting', 'opinion', 'speculation') AND text <> ''""")
 def supervised_rows(spark, d):
     r = table(spark, d, "approved_feedback_dataset").filter("text <> ''")
-    x = r.select("rec_id", "title", "text", t.mapped(F.col("propaganda_label"), t.PROPAGANDA_CODES).alias("propaganda"), t.mapped(F.col("statement_type"), t.STATEMENT_CODES).alias("statement"))
+    ratio = t.loaded_ratio(t.tokenize(t.normalize(F.col("text"))), lexicons.LOADED)
+    x = r.select("rec_id", "title", "text", ratio.alias("ratio"), t.mapped(F.col("propaganda_label"), t.PROPAGANDA_CODES).alias("propaganda"), t.mapped(F.col("statement_type"), t.STATEMENT_CODES).alias("statement"))
     return x.filter("propaganda is not null and statement is not null")
 
 
@@ -627,6 +628,12 @@ def cluster_summaries(spark, d):
     return summaries.summarized(table(spark, d, "clusters"), table(spark, d, "articles"), 2026).select("id", "summary")
 
 
+@query("""WITH n AS (SELECT id FROM article_feedback WHERE status = 'approved' AND training_job_id IS NULL GROUP BY id ORDER BY id LIMIT 25)
+    SELECT f.id, f.status, CASE WHEN n.id IS NOT NULL AND f.status = 'approved' AND f.training_job_id IS NULL THEN 999 ELSE f.training_job_id END AS training_job_id FROM article_feedback f LEFT JOIN n ON f.id = n.id""")
+def stamped_some(spark, d):
+    return feedback.stamp_job(table(spark, d, "article_feedback"), 999, most=25).select("id", "status", F.col("training_job_id").cast("bigint").alias("training_job_id"))
+
+
 @query("""SELECT f.id, f.status, CASE WHEN f.status = 'approved' AND f.training_job_id IS NULL THEN 999 ELSE f.training_job_id END AS training_job_id FROM article_feedback f""")
 def stamped_feedback(spark, d):
     return feedback.stamp_job(table(spark, d, "article_feedback"), 999).select("id", "status", F.col("training_job_id").cast("bigint").alias("training_job_id"))
