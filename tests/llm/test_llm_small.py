@@ -434,6 +434,23 @@ def test_entities(spark):
     assert names.entities(d.limit(0), ["persons"]).count() == 0
 
 
+def test_names_send_no_growing_table_through_the_driver(spark, monkeypatch):
+    """Small files may hold many rows once exploded; only the totals, one row a field, are broadcast, however small the tables are."""
+    plans = []
+
+    def seen(df, name="cut"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, name)
+
+    monkeypatch.setattr(names, "cut", seen)
+    d = spark.createDataFrame([(["خالد السداخلي", "خالد السدااخلي"], ["كفر السداخلي", "دمشق"])], "persons array<string>, locations array<string>")
+    found = names.spelling_pairs(names.entities(d, ["persons", "locations"]))
+    plans.append(("pairs", found._jdf.queryExecution().executedPlan().toString()))
+    joins = {n: p.count("BroadcastHashJoin") + p.count("BroadcastNestedLoopJoin") for n, p in plans}
+    assert {n for n, k in joins.items() if k} <= {"associations", "words-of-contexts"} and max(joins.values()) == 1
+    assert found.count() == 1
+
+
 def test_meanings_are_learnt(spark):
     """Kinds and given names of both scripts are linked by the cores they share, others are kept apart."""
     rng = random.Random(5)
